@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turfline.llm import minhash
+from turfline.llm import bpe, minhash, packing, sharding, urls
 from turfline.llm.common import documents
 
 
@@ -12,6 +14,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
-SQL: dict[str, str] = {}
+
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+def op6_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_harmonic_packing, op4_rendezvous_sharding, op6_bpe_merge_replay, op10_url_rules)}
+
+SQL: dict[str, str] = {"op4_rendezvous_sharding": sharding.SQL, "op10_url_rules": urls.SQL}
