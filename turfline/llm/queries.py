@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import bpe, minhash, packing, sharding, urls
-from turfline.llm.common import documents
+from turfline.llm import bpe, minhash, packing, rules, sharding, urls
+from turfline.llm.common import documents, labels
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,14 @@ def op6_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_harmonic_packing, op4_rendezvous_sharding, op6_bpe_merge_replay, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_harmonic_packing, op4_rendezvous_sharding, op6_bpe_merge_replay, op9_ngram_quality_rules, op10_url_rules)}
 
 SQL: dict[str, str] = {"op4_rendezvous_sharding": sharding.SQL, "op10_url_rules": urls.SQL}
