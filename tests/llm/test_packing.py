@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from turfline.llm import packing, queries
@@ -41,6 +42,17 @@ def test_every_id_is_packed_once_with_little_padding(spark):
         check(rows, packing.pack(docs, PATH, capacity).collect(), capacity, 2)
 
 
+def test_ids_are_those_of_the_library():
+    from test_bpe import ODD, random_texts
+
+    texts = [x or "" for x in ODD] + random_texts(11, 300)
+    texts += [x.text for x in pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["text"]).to_pandas().itertuples()]
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    for text, ids in zip(texts, packing._table(PATH).ids_of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

@@ -15,7 +15,7 @@ import regex
 _WIDE = re.compile(r"\s ")  # a space that doesn't follow a non-space
 _CUT = regex.compile(r"(?V1)(?<=[^\s\x1c-\x1f])(?= )")
 _HEAD = "\ud800"  # marks a segment without the leading space; no valid text holds it
-KEPT, LONGEST, SLICE = 400_000, 48, 1 << 20
+KEPT, LONGEST, SLICE = 600_000, 48, 1 << 21
 
 
 def _slices(text: str) -> Iterator[str]:
