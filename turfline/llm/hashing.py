@@ -56,7 +56,7 @@ def span_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, fold: bool =
         a, z = np.maximum(starts[first:last], low) - low, np.minimum(ends[first:last], high) - low
         part = (sums[z] - sums[a]) * _INVERSE[a]
         if starts[first] < low:  # it began in an earlier block
-            part[0] = part[0] * U(pow(_BASE, low - int(starts[first]), 1 << 64))
+            part[:1] *= U(pow(_BASE, low - int(starts[first]), 1 << 64))
         out[first:last] += part
     return mix(out + (ends - starts).astype(np.uint64) * _GOLD)
 
