@@ -23,61 +23,88 @@ from pyspark.sql import functions as F
 from turfline.llm.common import texts
 from turfline.llm.segments import SegmentTable
 
+_STEP = 1 << 16  # ids that are decoded at a time
+
 
 class Merges:
     """The ranks of a vocabulary: token bytes to ids, and pairs of ids to the id that they merge into."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        self.bytes = [ranks[bytes([k])] for k in range(256)]
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word. A word that is a token is that token."""
-        pairs, whole = self.pairs, self.ranks.get
-        out: list[list[int] | None] = [None if (r := whole(w)) is None else [r] for w in words]
-        token: list[int] = []
-        begins: list[int] = []
-        for word, done in zip(words, out, strict=True):
-            begins.append(len(token))
-            if done is None:
-                token += [self.bytes[b] for b in word]
-        begins.append(len(token))
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        for first, end in zip(begins, begins[1:], strict=False):
-            if first < end:
-                before[first], after[end - 1] = -1, -1
+        self.after = [{} for _ in range(1 + max(ranks.values()))]  # after[left].get(right): what the two merge into
+        for t, r in ranks.items():
+            for k in range(1, len(t)):
+                if (left := ranks.get(t[:k])) is not None and (right := ranks.get(t[k:])) is not None:
+                    self.after[left][right] = r
+        self.bytes = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
+        self.byte_pairs = np.array([[self.after[a].get(b, -1) for b in self.bytes.tolist()] for a in self.bytes.tolist()], np.int32)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers. A word that is a token is that token."""
+        whole = self.ranks.get
+        out = [b"" if (r := whole(w)) is None else r.to_bytes(4, "little") for w in words]
+        left = [k for k, x in enumerate(out) if not x]
+        data = np.frombuffer(b"".join([words[k] for k in left]), np.uint8)
+        ends = np.cumsum([len(words[k]) for k in left], dtype=np.int64)
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1], before[np.concatenate(([0], ends[:-1]))[: len(ends)]] = -1, -1
+        merged = self.byte_pairs[data, np.append(data[1:], 0)] if len(data) else np.empty(0, np.int32)
+        merged[ends - 1] = -1
         spots: dict[int, list[int]] = {}  # the inverted index
-        for at, other in enumerate(after):
-            if other >= 0 and (r := pairs.get(token[at] << 32 | token[other])) is not None:
-                spots.setdefault(r, []).append(at)
+        order = np.argsort(merged, kind="stable")
+        order = order[np.searchsorted(merged[order], 0) :]
+        found, firsts = np.unique(merged[order], return_index=True)
+        for rank, positions in zip(found.tolist(), np.split(order, firsts[1:]) if len(found) else (), strict=True):
+            spots[rank] = positions.tolist()
+        token = self._merge_all(self.bytes[data].tolist(), after.tolist(), before.tolist(), spots)
+        kept = np.array(token, "<i4")
+        alive = kept >= 0
+        blob, upto = kept[alive].tobytes(), (4 * np.cumsum(alive)[ends - 1]).tolist() if len(ends) else []
+        at = 0
+        for k, end in zip(left, upto, strict=True):
+            out[k], at = blob[at:end], end
+        return out
+
+    def _merge_all(self, token: list[int], after: list[int], before: list[int], spots: dict[int, list[int]]) -> list[int]:
+        """Applies the merges in rank order to all words at once; a token that has gone into another becomes -1."""
+        pairs = self.after
         ranks = list(spots)
         heapify(ranks)
         while ranks:
             rank = heappop(ranks)
-            for at in sorted(spots.pop(rank)):
+            positions = spots.pop(rank)
+            positions.sort()
+            for at in positions:
                 other = after[at]
-                if other < 0 or pairs.get(token[at] << 32 | token[other]) != rank:
+                here = token[at]
+                if other < 0 or here < 0 or pairs[here].get(token[other]) != rank:
                     continue  # a neighbour has changed since
                 token[at], token[other] = rank, -1
                 far, near = after[other], before[at]
                 after[at] = far
+                lower = False
                 if far >= 0:
                     before[far] = at
-                lower = False
-                for left, right in ((near, at), (at, far)):
-                    if left >= 0 and right >= 0 and (r := pairs.get(token[left] << 32 | token[right])) is not None:
-                        lower |= r < rank
-                        if r not in spots:
-                            spots[r] = []
+                    r = pairs[rank].get(token[far])
+                    if r is not None:
+                        lower = r < rank
+                        if r in spots:
+                            spots[r].append(at)
+                        else:
+                            spots[r] = [at]
+                            heappush(ranks, r)
+                if near >= 0:
+                    r = pairs[token[near]].get(rank)
+                    if r is not None:
+                        lower = lower or r < rank
+                        if r in spots:
+                            spots[r].append(near)
+                        else:
+                            spots[r] = [near]
                             heappush(ranks, r)
-                        spots[r].append(left)
                 if lower:  # an earlier merge has become possible: in this word it comes before this rank's other positions
                     self._finish(at, token, after, before)
-        for k, (first, end) in enumerate(zip(begins, begins[1:], strict=False)):
-            if out[k] is None:
-                out[k] = [x for x in token[first:end] if x >= 0]
-        return out
+        return token
 
     def _finish(self, at: int, token: list[int], after: list[int], before: list[int]) -> None:
         """All merges of the word at a position, the least rank first, the leftmost of equal ones."""
@@ -86,7 +113,7 @@ class Merges:
         while True:
             best, left = None, at
             while after[left] >= 0:
-                r = self.pairs.get(token[left] << 32 | token[after[left]])
+                r = self.after[token[left]].get(token[after[left]])
                 if r is not None and (best is None or r < best[0]):
                     best = r, left
                 left = after[left]
@@ -110,7 +137,7 @@ def _loaded(path: str, pattern: str) -> tuple[Merges, SegmentTable, list[bytes]]
     def encode(segments: list[str]) -> list[bytes]:
         parts = [split(x) for x in segments]
         words = list(set().union(*parts)) if parts else []
-        ids = {w: np.array(x, "<i4").tobytes() for w, x in zip(words, merges.replay([w.encode() for w in words]), strict=True)}
+        ids = dict(zip(words, merges.replay([w.encode() for w in words]), strict=True))
         return [b"".join(map(ids.__getitem__, x)) for x in parts]
 
     tokens = [b""] * (1 + max(merges.ranks.values()))
@@ -129,10 +156,24 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    token = _loaded(path, pattern)[2].__getitem__
+    tokens = _loaded(path, pattern)[2]
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    starts = np.cumsum(sizes) - sizes
+
+    def bytes_of(ids: np.ndarray) -> bytes:
+        out = []
+        for at in range(0, len(ids), _STEP):
+            part = ids[at : at + _STEP]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            out.append(data[np.repeat(starts[part] - ends + n, n) + np.arange(int(n.sum()))].tobytes())
+        return b"".join(out)
+
     for batch in batches:
         ids = batch.column(1)
-        decoded = [b"".join(map(token, x.values.to_pylist())) if x.is_valid else None for x in ids]
+        bounds, values, valid = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False), ids.is_valid().to_pylist()
+        decoded = [bytes_of(values[a:z]) if there else None for a, z, there in zip(bounds, bounds[1:], valid, strict=False)]
         yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
