@@ -79,12 +79,24 @@ def test_against_brute_force(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-def test_rounds_of_leaders_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "LEADERS", 2)
+def test_large_buckets_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LEADERS", 1)
     rows = [x for x in corpus(7) if x[0] % 6 in (1, 2)]
     assert run(spark, rows, bands=48, rows=1) == brute(rows)  # rows=1: buckets of many that aren't similar
 
 
+def test_chains_of_near_copies(spark):
+    r = random.Random(3)
+    base = [f"v{k}" for k in range(70)]
+    rows = []
+    for k in range(120):  # around the threshold: many pairs are links, many are not
+        edited = list(base)
+        for at in r.sample(range(70), r.randint(0, 4)):
+            edited[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(edited)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g h"
     got = run(spark, [(1, text), (1, text), (None, text), (2, text), (None, None)])

@@ -5,10 +5,13 @@ coordinates: `sigma` scatters the shingles once, `pi` shifted by k gives coordin
 BANDS bands of ROWS coordinates put a pair of similarity 0.75 into a common bucket but for once in 180,000 pairs.
 
 Scale: documents with equal sets are one class from the first shuffle on. A bucket is never expanded into all its
-pairs: its first and last class meet all others, verified edges make components, and only buckets that still
-hold classes of different components go on, with twice as many leaders each round, until every pair of a bucket is
-in one component or has been compared. So groups of near copies cost a few rows for each member, and nothing is
-capped. Texts are shuffled once, to get the sets of classes that share a bucket.
+pairs. Two classes alone in a bucket are compared; in larger buckets the first and the last are leaders, and each class
+meets the LEADERS leaders that it shares most buckets with. Verified edges make components. Only larger buckets that
+still hold several components stay open, and for their classes an exact way takes over: ordered by rarity, two sets that
+are similar enough share one of their rarest elements, at places that leave enough of both. Each class first meets
+the most typical class (the one with the fewest rare elements) that it shares such an element with, then those of
+other components. What many documents have in common, a passage or a line, is never rare, so it makes no pair. Nothing
+is capped. Of texts only those whose classes share a bucket are shuffled, behind a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -18,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import hashing
 from turfline.llm.common import cut, texts
 from turfline.llm.components import components
 
-WIDTH, PERCENT, BANDS, ROWS, LEADERS = 5, 75, 32, 4, 16
+WIDTH, PERCENT, BANDS, ROWS, LEADERS = 5, 75, 32, 4, 2
+_BITS = 1 << 24  # of the bitmap of wanted doc_ids
 _STEP = 1024  # shingles whose coordinates are made at a time, to stay in the processor's cache
 
 
@@ -91,7 +95,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     out.append((cls, len(found), found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["class", "size", "found"])
 
-    rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(_BITS))
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(slot("rep")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("rep"))).alias("bits"))
+    place = F.bitmap_bit_position(slot("doc_id"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = texts(docs).join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("bucket"))  # at most _BITS bits
+    near = near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "text")
+    rows = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
     return rows.select("class", "content", "text").mapInArrow(read, "class long, size long, found array<long>")
 
 
@@ -105,11 +115,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(F.when(sizes, similar).otherwise(False)).select("a", "b")
 
 
-def _joined(parts: DataFrame | None, rows: DataFrame) -> DataFrame:
-    """rows with each class's component."""
-    if parts is None:
-        return rows.withColumn("component", F.col("class"))
-    return rows.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+def _joined(parts: list[DataFrame], rows: DataFrame, column: str = "class", name: str = "component") -> DataFrame:
+    """rows with the component of a class; each of parts leads on from the components of those before it."""
+    rows = rows.withColumn(name, F.col(column))
+    for part in parts:
+        onward = part.select(F.col("node").alias("__node"), F.col("component").alias("__root"))
+        rows = rows.join(onward, F.col(name) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", name)).drop("__node", "__root")
+    return rows
+
+
+def _band_pairs(live: DataFrame) -> DataFrame:
+    """Of members (key, class, low, high, two): the pairs of buckets of two, and each class with the leaders it meets most often."""
+    pair = (F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b"))
+    twos = live.where("two and class = low").select(F.col("high").alias("leader"), "class")
+    met = live.where("not two").select("class", F.explode(F.array("low", "high")).alias("leader")).where("leader != class")
+    counts = met.groupBy("class", "leader").agg(F.count("*").alias("n"))  # at most two leaders for each band of a class
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "leader")))), 1, LEADERS)
+    chosen = counts.groupBy("class").agg(best.alias("best")).select("class", F.explode("best.leader").alias("leader"))
+    return twos.unionByName(chosen.select("leader", "class")).select(*pair).distinct()
+
+
+def _needed(size_a: str, size_b: str, percent: int) -> Column:
+    """The least number of common elements of two similar sets."""
+    return F.ceil(F.lit(percent) * (F.col(size_a) + F.col(size_b)) / F.lit(100.0 + percent) - 1e-9)
+
+
+def _rare_elements(sets: DataFrame, percent: int) -> DataFrame:
+    """(class, size, element, place) of each set's rarest elements that others have, too: as many as a similar set can't miss all.
+
+    The order is by the number of sets that have an element, then by its hash; place counts from 1.
+    """
+    elements = sets.select("class", "size", F.explode("found").alias("element"))
+    shared = elements.groupBy("element").agg(F.count("*").alias("holders")).where("holders > 1")
+    ranked = elements.join(shared, "element", "left").select("class", "size", F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "element").alias("e"))
+    ordered = ranked.groupBy("class", "size").agg(F.array_sort(F.collect_list("e")).alias("es"))  # a document's own elements
+    enough = (F.col("size") - F.ceil(F.col("size") * percent / 100.0 - 1e-9) + 1).cast("int")
+    placed = ordered.select("class", "size", F.posexplode(F.slice("es", F.lit(1), enough)).alias("at", "e"))
+    return placed.where("e.holders > 1").select("class", "size", F.col("e.element").alias("element"), (F.col("at") + 1).cast("long").alias("place"))
+
+
+def _typical_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Each class with one of another component: of those at the head of its elements the one with the fewest rarer elements."""
+    head = rare.groupBy("element").agg(F.min(F.struct((F.col("place") / F.col("size")).alias("rareness"), F.col("class").alias("leader"), F.col("component").alias("led"))).alias("head"))
+    met = rare.join(head, "element").where("component != head.led")
+    one = met.groupBy("class").agg(F.min("head").alias("head")).select("class", F.col("head.leader").alias("leader"))
+    return one.select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
+
+
+def _remaining_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a rare element at places which leave enough elements for both."""
+    heads = rare.groupBy("element").agg(F.min("component").alias("from"), F.max("component").alias("to"), F.min(F.struct((F.col("place") / F.col("size")).alias("rareness"), F.col("component").alias("main"))).alias("head"))
+    open_ = rare.join(heads.where("from < to").select("element", "head.main"), "element")
+    names = ("class", "size", "place", "component")
+    one = open_.where("component != main").select("element", *[F.col(c).alias(f"{c}_a") for c in names])  # one of two components isn't the head's
+    two = open_.select("element", *[F.col(c).alias(f"{c}_b") for c in names])
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1
+    fit = (F.col("component_a") != F.col("component_b")) & (left >= _needed("size_a", "size_b", percent))
+    return one.join(two, "element").where(fit).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -126,31 +188,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         filled.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("class", F.monotonically_increasing_id())
     )
     members = classes.select("class", F.explode("bands").alias("key"))
-    ends = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    ends = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), (F.count("*") == 2).alias("two")).where("low < high")
     live = cut(members.join(ends, "key"))  # classes that share a bucket with another
-    edges = parts = None
+    parts: list[DataFrame] = []
     if not live.isEmpty():
         wanted = live.select("class").distinct().join(classes.select("class", "rep", "content"), "class")
         sets = cut(_sets(docs, wanted, width))
-        leaders = live.select("key", F.explode(F.array("low", "high")).alias("leader"), "class")
-        size, live = LEADERS, live.select("key", "class", "low", "high").where("class != low and class != high").select("key", "class")
-        while True:
-            pairs = leaders.where("leader != class").select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
-            found = _verified(pairs, sets, percent)
-            edges = cut(found if edges is None else edges.unionByName(found).distinct())
-            parts = components(edges)
-            if live.isEmpty():
-                break
-            parted = _joined(parts, live)
-            open_keys = parted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            live = cut(parted.join(open_keys, "key"))
-            if live.isEmpty():
-                break
-            chosen = cut(live.groupBy("key", F.pmod(F.xxhash64("class"), F.lit(size)).alias("slot")).agg(F.min("class").alias("leader")).select("key", "leader"))
-            ahead = chosen.join(live.select("key", F.col("class").alias("leader"), F.col("component").alias("led")), ["key", "leader"])
-            leaders = live.join(ahead, "key").where("component != led").select("key", "leader", "class")
-            live = cut(live.join(chosen.withColumnRenamed("leader", "class"), ["key", "class"], "left_anti").select("key", "class"))
-            size *= 2
+        parts.append(cut(components(_verified(_band_pairs(live), sets, percent))))
+        open_keys = _joined(parts, live.where("not two")).groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to")).where("from < to")
+        rest = live.where("not two").join(open_keys, "key").select("class").distinct()
+        rare = cut(_rare_elements(sets.join(rest, "class", "left_semi"), percent))
+        if not rare.isEmpty():
+            for pairs in (_typical_pairs, _remaining_pairs):
+                found = cut(_verified(pairs(_joined(parts, rare), percent), sets, percent))
+                if not found.isEmpty():
+                    ends = _joined(parts, _joined(parts, found, "a", "from"), "b", "to")
+                    parts.append(cut(components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")))))
     labelled = _joined(parts, classes.select("class", "content", "rep"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "component").select("content", "component_id")
