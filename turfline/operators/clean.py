@@ -91,9 +91,14 @@ def weight_lbs(text: Column) -> Column:
     return F.when(t.rlike(r"^\d+-\d+$"), part(1) * 14 + part(2)).otherwise(number(t))
 
 
+#: Columns of raw cards that hold numbers, and whole ones.
+NUMBERS = ("official_rating", "days_since_last_time_out", "betfair_sp", "industry_sp", "sp_fav", "distance_f", "distance_m", "weight_lbs")
+WHOLE = ("age", "class", "stall", "runners")
+
+
 def prepare_inputs(df: DataFrame, default_distance: float | None = 2000.0) -> DataFrame:
-    """weight_lbs, distance_m and course where they can be told from weight, distance_f and track."""
-    made: dict[str, Column] = {}
+    """weight_lbs, distance_m and course where they can be told from weight, distance_f and track; numbers typed where they are text."""
+    made: dict[str, Column] = {c: number(F.col(c)) if c in NUMBERS else number(F.col(c)).cast("int") for c, t in df.dtypes if t == "string" and c in NUMBERS + WHOLE}
     if "weight_lbs" not in df.columns and "weight" in df.columns:
         made["weight_lbs"] = weight_lbs(F.col("weight"))
     if "distance_m" not in df.columns:
