@@ -112,6 +112,22 @@ def test_keeps_one_of_each_with_all_columns(spark):
     assert sorted(map(tuple, minhash.keep_one_of_each(docs).collect())) == [(1, "a b c d e f", "s"), (4, None, None)]
 
 
+def test_keeps_every_group_of_null_and_shared_ids(spark):
+    text = lambda k: " ".join(f"w{k}_{j}" for j in range(12))
+    rows = [(None, text(k)) for k in range(30)] + [(None, text(0)), (None, text(1).upper())]  # groups of their own, and two copies
+    rows += [(7, text(40)), (7, text(41)), (7, text(41)), (5, text(41) + " more"), (8, text(42)), (None, text(42))]
+    rows += [(None, None), (None, ""), (None, " \n"), (9, "é ü"), (9, "É"), (9, " é  ü\n")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, digest string")
+    got = minhash.keep_one_of_each(docs.repartition(3))
+    assert got.columns == docs.columns
+    got = [(x.doc_id, x.text) for x in got.collect()]
+    fold = lambda t: " ".join((t or "").replace("W", "w").split())
+    filled = sorted((d or 0, fold(t)) for d, t in got if fold(t))
+    want = [(0, text(k)) for k in range(30)] + [(7, text(40)), (5, text(41) + " more"), (8, text(42)), (9, "é ü"), (9, "É")]
+    assert filled == sorted(want)
+    assert sorted(str(t) for _, t in got if not fold(t)) == ["", " \n", "None"]
+
+
 def test_long_words_and_blocks_hash_alike(monkeypatch):
     text = ("ab " * 1000 + "x" * 5000 + " tail " + "q" * 300).encode()
     starts, ends = hashing.word_spans(text)

@@ -69,6 +69,11 @@ def _bands(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _digest(text: str) -> Column:
+    """128 bits of a text itself: with the doc_id it names a row, but for rows that repeat both."""
+    return F.unhex(F.md5(F.col(text).cast("string").cast("binary")))
+
+
 def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +83,10 @@ def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
                 sizes.append(len(found))
                 contents.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 keys.append(_bands(found, bands, rows) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "content", "bands"])
+            made = [pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], ["doc_id", "digest", "n_shingles", "content", "bands"])
 
-    return texts(docs).mapInArrow(sign, "doc_id long, n_shingles long, content binary, bands array<long>")
+    return texts(docs).withColumn("digest", _digest("text")).mapInArrow(sign, "doc_id long, digest binary, n_shingles long, content binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -174,14 +180,8 @@ def _remaining_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return one.join(two, "element").where(fit).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
-
-    component_id is the smallest doc_id that links reach, its own included; kept tells whether the row is the one
-    that stays. Null, empty and all-blank texts have no shingles, link to nothing and stay. Rows that repeat a doc_id
-    get a row each. A null doc_id never is a component_id unless all of its component's are null. Other columns of
-    docs are ignored; an empty table gives an empty table.
-    """
+def _grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, component, component_id) for each row of docs with shingles; (doc_id, n_shingles) of the others."""
     signed = cut(_signed(docs, bands, rows, width))
     filled = signed.where("n_shingles > 0")
     classes = cut(
@@ -206,15 +206,39 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                     parts.append(cut(components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")))))
     labelled = _joined(parts, classes.select("class", "content", "rep"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "component").select("content", "component_id")
-    out = filled.select("doc_id", "n_shingles", "content").join(named, "content").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = labelled.join(least, "component").select("content", "component", "component_id")
+    out = filled.select("doc_id", "digest", "n_shingles", "content").join(named, "content").drop("content")
+    return out, signed.where("n_shingles = 0").select("doc_id", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept. options: width, percent, bands, rows.
+
+    component_id is the smallest doc_id that links reach, its own included; kept tells whether the row is the one
+    that stays. Null, empty and all-blank texts have no shingles, link to nothing and stay. Rows that repeat a doc_id
+    get a row each. A null doc_id never is a component_id unless all of its component's are null. Other columns of
+    docs are ignored; an empty table gives an empty table.
+    """
+    linked, alone = _grouped(docs, **options)
+    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.withColumn("component_id", F.col("doc_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that stay: one of each group of near copies, with all its columns. Rows that repeat a kept doc_id go, too."""
-    kept = near_duplicates(docs, **options).where("kept")
-    many = kept.groupBy("doc_id").count().where("count > 1")
-    out = docs.join(kept.select(F.col("doc_id").alias("__kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return out if many.isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of docs that stay: one of each group of near copies, with all its columns, and all rows without shingles.
+
+    Rows are told apart by doc_id and text, so null or shared ids lose no text: of a group the row of the least doc_id
+    (null comes last) and digest stays. Rows that repeat both are copies, of which one stays.
+    """
+    linked, _ = _grouped(docs, **options)
+    rows = linked.groupBy("component", "doc_id", "digest").agg((F.count("*") > 1).alias("many"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "many")).alias("least")
+    stay = cut(rows.groupBy("component").agg(least).select(*[F.col(f"least.{c}").alias(f"__{c}") for c in ("doc_id", "digest", "many")]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (_digest("text") == F.col("__digest"))
+    blank = docs.where(~F.coalesce(F.col("text").cast("string").rlike("[^ \\t-\\r]"), F.lit(False)))
+    out = docs.join(stay.where("not __many"), same, "left_semi").unionByName(blank)
+    many = stay.where("__many")
+    if many.isEmpty():
+        return out
+    copies = docs.join(many, same).dropDuplicates(["__doc_id", "__digest"])
+    return out.unionByName(copies.drop("__doc_id", "__digest", "__many"))
