@@ -53,6 +53,18 @@ def test_ids_are_those_of_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_added_tokens_in_texts(spark):
+    e = "<|endoftext|>"
+    texts = [e, e + e, e + " at the start", "in the" + e + "middle", "in the  " + e + "  wide\n" + e + "\n middle", "at the end " + e, "at the end" + e]
+    texts += ["<|endoftext|", "<" + e + ">", "no token", "", f"x {e} y" * 900, " " + e + " ", "don" + e + "'t"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    check(rows, packing.pack(docs, PATH).collect(), 1024, 2)
+    tokenizer = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, packing._ids_of(PATH, texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 

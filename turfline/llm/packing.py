@@ -10,6 +10,7 @@ end to end and cut at the capacity, so that a task leaves at most one sequence t
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate, chain
@@ -35,7 +36,7 @@ def _table(path: str) -> SegmentTable:
     """One for each worker process. path: a byte-level BPE tokenizer file of `tokenizers` that every machine has.
 
     Its vocabulary goes to the faster encoder of tiktoken, which gives the same ids where ids grow with the rank of
-    merges, as in such files; special tokens in a text are ordinary text.
+    merges, as in such files; added tokens in a text are ordinary text here (see _ids_of).
     """
     import tiktoken
 
@@ -57,6 +58,29 @@ def _table(path: str) -> SegmentTable:
     return SegmentTable(encode)
 
 
+@cache
+def _added(path: str) -> dict[str, bytes]:
+    """The id, as bytes, of each added token of a tokenizer file. They are matched in texts as they stand, before anything else."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: an added token that takes more or less than its own text")
+    return {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+
+
+def _ids_of(path: str, texts: list[str]) -> Iterator[bytes]:
+    """The ids of each text as bytes: those of its added tokens, and of the parts between them on their own."""
+    table, added = _table(path), _added(path)
+    if not any(token in text for token in added for text in texts):
+        yield from table.ids_of(texts)
+        return
+    token = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [token.split(text) for text in texts]
+    found = table.ids_of([x for part in parts for x in part[::2]])
+    for part in parts:
+        yield b"".join(added[x] if k % 2 else next(found) for k, x in enumerate(part))
+
+
 @cache
 def cuts(rest: int, capacity: int = CAPACITY, classes: int = CLASSES) -> tuple[tuple[int, int], ...]:
     """(length, class) of the pieces that a rest shorter than the capacity is cut into."""
@@ -122,7 +146,7 @@ class _Bins:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes: int = CLASSES, end: int = END) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, ids.
 
-    ids are the piece's token ids, little-endian unsigned 32-bit; the last piece of each document ends with the id
+    ids are the piece's token ids, little-endian unsigned 32-bit, added tokens in a text included; the last piece of each document ends with the id
     `end`, which doc_tokens counts. A null or empty text is that id alone. Repeated rows, or a null doc_id, are packed
     like any others. sequence_id is unique over all tasks; offsets in a sequence have no gaps. Other columns of docs
     are ignored; an empty table gives an empty table.
@@ -130,9 +154,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bins = _table(tokenizer_path), _Bins(TaskContext.get().partitionId(), capacity, classes)
+        bins = _Bins(TaskContext.get().partitionId(), capacity, classes)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), table.ids_of([x or "" for x in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), _ids_of(tokenizer_path, [x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 bins.add(doc, ids + last)
                 if bins.held > 1 << 21:
                     yield bins.take()
