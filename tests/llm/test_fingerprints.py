@@ -69,3 +69,23 @@ def test_likeness():
     assert fp.likeness(a, b) > 0.5 and fp.likeness(a, c) < 0.05
     none = make([])
     assert fp.likeness(none, none) == 1.0 and fp.likeness(none, a) == 0.0
+
+
+def test_every_text_but_the_empty_has_features():
+    r = random.Random(8)
+    random_ranks = list(range(fp.LEVELS))
+    r.shuffle(random_ranks)
+    for ranks in (np.arange(fp.LEVELS), np.arange(fp.LEVELS)[::-1], np.array(random_ranks)):
+        make = lambda x: fp.Digest(fp.features(x, ranks))
+        for n in range(1, 101):
+            pair = [bytes(r.choices(b"abcdefgh ijk,\n", k=n)) for _ in range(2)]
+            a, b = map(make, pair)
+            assert a.size and b.size and fp.likeness(a, a) == 1.0
+            assert pair[0] == pair[1] or n < 3 or fp.likeness(a, b) < 0.8, pair
+        for period in (1, 2, 4, 8, 16, 32):
+            one, two = bytes(range(40, 40 + period)), bytes(range(90, 90 + period))
+            for n in (48, 50, 1000, 200_000):
+                a, b = make((one * n)[:n]), make((two * n)[:n])
+                assert 0 < a.size <= 32 and fp.likeness(a, a) == 1.0 and fp.likeness(a, b) < 0.5
+                assert n < 100 or fp.likeness(a, make((one * n)[1 : n + 1])) == 1.0
+    assert fp.Digest(fp.features(b"", np.arange(fp.LEVELS))).size == 0

@@ -2,7 +2,8 @@
 
 Every window of WINDOW bytes has an entropy, in LEVELS steps; the rarer its level is among all windows of the corpus,
 the lower its rank. In each run of RUN windows the first of the lowest rank is picked, and a window that is picked by
-PICKED runs is a feature. A feature sets HASHES bits of a filter of BITS bits; after FULL features a new filter begins.
+PICKED runs is a feature. Where no window is picked as often (texts of a few runs, or of a period that leaves each window
+its level), the most picked ones are features, each content once. A feature sets HASHES bits of a filter of BITS bits; after FULL features a new filter begins.
 Two filters are as alike as their common bits exceed what chance gives, relative to the most that is possible; two
 digests are the mean, over the filters of the one with fewer, of the best match in the other.
 
@@ -56,7 +57,7 @@ def levels(text: bytes) -> np.ndarray:
 
 
 def features(text: bytes, ranks: np.ndarray) -> np.ndarray:
-    """Hashes of a text's features in their order. A text shorter than a window is one feature; an empty one has none."""
+    """Hashes of a text's features in their order: at least one, but for an empty text. A text shorter than a window is one."""
     if len(text) < WINDOW:
         return mix(np.frombuffer(hashlib.blake2b(text, digest_size=8).digest(), np.uint64)) if text else np.empty(0, np.uint64)
     keys = (ranks[levels(text)].astype(np.int64) << 40) | np.arange(len(text) - WINDOW + 1)
@@ -69,7 +70,15 @@ def features(text: bytes, ranks: np.ndarray) -> np.ndarray:
             width *= 2
         picked = low & ((1 << 40) - 1)
         begins = np.flatnonzero(np.diff(picked, prepend=-1))
-        chosen = picked[begins][np.diff(begins, append=len(picked)) >= PICKED]
+        times = np.diff(begins, append=len(picked))
+        if times.max() < PICKED:
+            return _once(text, picked[begins][times == times.max()])
+        chosen = picked[begins][times >= PICKED]
+    return _hashes(text, chosen)
+
+
+def _hashes(text: bytes, chosen: np.ndarray) -> np.ndarray:
+    """A hash of each of the windows that begin at the chosen places."""
     data = np.frombuffer(text, np.uint8)
     parts = np.ascontiguousarray(data[chosen[:, None] + np.arange(WINDOW)]).view(np.uint64)
     out = np.full(len(chosen), WINDOW, np.uint64)
@@ -78,6 +87,14 @@ def features(text: bytes, ranks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _once(text: bytes, chosen: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the chosen windows, in their own order, so that equal windows count alike wherever they stand."""
+    found = np.empty(0, np.uint64)
+    for at in range(0, len(chosen), _STEP):
+        found = np.union1d(found, _hashes(text, chosen[at : at + _STEP]))
+    return found
+
+
 class Digest:
     """Chained Bloom filters; size is the number of features."""
 
