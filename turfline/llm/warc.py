@@ -5,10 +5,10 @@ URL that was captured strictly before it, if the validators agree: the entity ta
 has one, else the modification date. Then its headers update the response's, but for those that describe the body or
 the connection.
 
-Scale: only times and ids take part in the join. Captures of one URL at one time are one point (the response with the
-greatest id); points fall into time buckets of about equal counts, each (URL, bucket) keeps its latest response, and a
-window over these carries it into later buckets, another over a bucket's points finishes. So a URL with a third of all
-captures is spread over all buckets. Headers are fetched for resolved revisits only, by record id.
+Scale: only URLs, times and ids take part in the join; headers are never read for it. Captures are dealt in ranges of
+time, those of one URL at one time are one point (the response with the greatest id); each (URL, range) keeps its latest
+response, a window over these carries it into later ranges, and another over a range's points finishes. So a URL with a
+third of all captures is spread over all ranges. Headers come back by record id, to revisits that have a response.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turfline.llm.common import cut
+
 #: Headers of a not-modified answer that don't replace the stored response's (RFC 9110 and 9111).
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
     "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade",
 )
-_BUCKETS = 4  # for each shuffle partition
 
 
 def canonical_url(url: Column) -> Column:
@@ -47,12 +48,6 @@ def _value(entries: Column, name: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(1))["value"]
 
 
-def _bucket(rows: DataFrame) -> Column:
-    many = _BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx("ts", [k / many for k in range(1, many)] or [0.5])).first()[0]
-    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or [0]))]), lambda c: c <= F.col("ts")))
-
-
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """From record_id (string), kind ('response' or 'revisit'), url, ts (a number) and headers (map of strings), for each revisit:
     record_id, canonical_url, ts, response_id, response_ts, outcome, headers (a map with names in lower case).
@@ -64,22 +59,23 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     repeats gives a row each. Other kinds and columns are ignored; record ids of responses should be unique.
     """
     rows = records.select(F.col("record_id").cast("string").alias("record_id"), "kind", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("double").alias("ts"), "headers")
-    responses = rows.where("kind = 'response' and record_id is not null and canonical_url is not null and ts is not null")
-    revisits = rows.where("kind = 'revisit'")
-    placed = revisits.where("canonical_url is not null and ts is not null")
-    full = F.when(F.col("kind") == "response", F.col("record_id"))
-    points = responses.unionByName(placed).groupBy("canonical_url", "ts").agg(F.max(full).alias("response_id"), F.max(F.col("kind") == "revisit").alias("asked"))
-    points = points.withColumn("bucket", _bucket(points))
+    response = (F.col("kind") == "response") & F.col("record_id").isNotNull()
+    revisits = rows.where("kind = 'revisit'").drop("kind")
+    usable = rows.where("canonical_url is not null and ts is not null").where(response | (F.col("kind") == "revisit"))
+    seen = usable.select("canonical_url", "ts", F.when(response, F.col("record_id")).alias("id"), (F.col("kind") == "revisit").alias("revisit")).repartitionByRange("ts")
+    points = seen.groupBy("canonical_url", "ts").agg(F.max("id").alias("response_id"), F.max("revisit").alias("asked"))  # in the ranges' own partitions
+    points = cut(points.withColumn("bucket", F.spark_partition_id()))
     found = F.when(F.col("response_id").isNotNull(), F.struct(F.col("ts").alias("response_ts"), "response_id"))
     carried = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = points.groupBy("canonical_url", "bucket").agg(F.max(found).alias("latest")).select("canonical_url", "bucket", F.max("latest").over(carried).alias("carried"))
     inside = Window.partitionBy("canonical_url", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     latest = points.select("canonical_url", "ts", "bucket", "asked", F.max(found).over(inside).alias("inside")).where("asked")
-    asof = latest.join(ahead, ["canonical_url", "bucket"]).select("canonical_url", "ts", F.coalesce("inside", "carried").alias("latest")).select("canonical_url", "ts", "latest.*")
-    wanted = responses.select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
-    joined = placed.join(asof, ["canonical_url", "ts"], "left").join(wanted, "response_id", "left")
-    rest = revisits.where("canonical_url is null or ts is null").select(*placed.columns, F.lit(None).cast("string").alias("response_id"), F.lit(None).cast("double").alias("response_ts"), F.lit(None).cast(records.schema["headers"].dataType).alias("stored"))
-    entries = joined.unionByName(rest).withColumns({"own": _headers(F.col("headers")), "old": _headers(F.col("stored"))})
+    asof = latest.join(ahead, ["canonical_url", "bucket"]).select("canonical_url", "ts", F.coalesce("inside", "carried").alias("latest")).where("latest is not null").select("canonical_url", "ts", "latest.*")
+    stored = rows.where(response).select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"))
+    placed = revisits.join(asof, ["canonical_url", "ts"], "left")
+    sought = F.coalesce("response_id", F.concat(F.lit("\0"), F.coalesce("record_id", F.lit(""))))  # so that those without a response don't meet in one task
+    joined = placed.withColumn("sought", sought).join(stored, F.col("sought") == F.col("stored_id"), "left")
+    entries = joined.withColumns({"own": _headers(F.col("headers")), "old": _headers(F.col("stored"))})
     own, old = F.col("own"), F.col("old")
     bare = lambda x: F.regexp_replace(F.trim(x), "^W/", "")
     tag, date = _value(own, "etag"), _value(own, "last-modified")
@@ -98,21 +94,28 @@ def captures(pages: DataFrame) -> DataFrame:
     Times are hours spread by page_id; entity tags are checksums of the html; revisits vary their URL's form, come
     before or after the responses, and name the tag, an old tag, the date or nothing, by remainders of page_id.
     """
-    p, url = F.col("page_id"), F.col("url")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    hours = (p * 7919) % 1000 * 3600.0
+    p, url, tag, size, hours, k = (F.col(c) for c in ("page_id", "url", "tag", "size", "hours", "k"))
+    tags = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
     text = lambda x: x.cast("string")
-    h = lambda **x: F.map_from_arrays(F.array(*[F.lit(k.replace("_", "-")) for k in x]), F.array(*x.values()))
+    some = F.when(p % 3 == 0, F.array(*map(F.lit, range(5)))).otherwise(F.array(*map(F.lit, (0, 2, 3, 4))))
+    rows = pages.select("page_id", "url", tags.alias("tag"), text(F.length(F.coalesce("html", F.lit("")))).alias("size"), ((p * 7919) % 1000 * 3600.0).alias("hours"), F.explode(some).alias("k"))
+    h = lambda **x: F.map_from_arrays(F.array(*[F.lit(n.replace("_", "-")) for n in x]), F.array(*x.values()))
+    case = lambda *x: F.when(k == 0, x[0]).when(k == 1, x[1]).when(k == 2, x[2]).when(k == 3, x[3]).otherwise(x[4])
     lit = F.lit
-    size = text(F.length(F.coalesce("html", lit(""))))
-    first = (text(p * 10), lit("response"), url, hours, h(ETag=tag, Last_Modified=text(hours), Content_Length=size, Server=lit("a")))
-    second = (text(p * 10 + 1), lit("response"), url, hours + 7200.0, h(ETag=F.concat(tag, lit("2")), Last_Modified=text(hours + 7200.0), Content_Length=size, Server=lit("a")))
-    one = (text(p * 10 + 2), lit("revisit"), F.concat(url, lit("#x")), hours + 3600.0, h(etag=F.concat(lit("W/"), tag), Server=lit("b"), Content_Length=lit("0")))
-    two = (text(p * 10 + 3), lit("revisit"), url, hours + 9000.0, F.when(p % 2 == 0, h(ETag=tag, Date=lit("d"))).otherwise(h(Last_Modified=text(hours), Date=lit("d"))))
-    three = (text(p * 10 + 4), lit("revisit"), url, hours - 60.0 + p % 2 * 120.0, F.when(p % 5 == 0, h(Date=lit("e"))).otherwise(h(ETag=tag)))
-    record = lambda x: F.struct(*[c.alias(n) for c, n in zip(x, ("record_id", "kind", "url", "ts", "headers"), strict=True)])
-    some = F.when(p % 3 == 0, F.array(*map(record, (first, second, one, two, three)))).otherwise(F.array(*map(record, (first, one, two, three))))
-    return pages.select(F.explode(some).alias("r")).select("r.*")
+    headers = case(
+        h(ETag=tag, Last_Modified=text(hours), Content_Length=size, Server=lit("a")),
+        h(ETag=F.concat(tag, lit("2")), Last_Modified=text(hours + 7200.0), Content_Length=size, Server=lit("a")),
+        h(etag=F.concat(lit("W/"), tag), Server=lit("b"), Content_Length=lit("0")),
+        F.when(p % 2 == 0, h(ETag=tag, Date=lit("d"))).otherwise(h(Last_Modified=text(hours), Date=lit("d"))),
+        F.when(p % 5 == 0, h(Date=lit("e"))).otherwise(h(ETag=tag)),
+    )
+    return rows.select(
+        text(p * 10 + k).alias("record_id"),
+        F.when(k < 2, "response").otherwise("revisit").alias("kind"),
+        F.when(k == 2, F.concat(url, lit("#x"))).otherwise(url).alias("url"),
+        (hours + case(lit(0.0), lit(7200.0), lit(3600.0), lit(9000.0), p % 2 * 120.0 - 60.0)).alias("ts"),
+        headers.alias("headers"),
+    )
 
 
 SQL = r"""
