@@ -4,13 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df where spark.checkpoint.dir says; a folder of its own only where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """Where spark.checkpoint.dir says. Only a local session without that setting, as in tests, gets a temporary folder of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Checkpoints df: loops then don't grow their lineage, and a lost executor costs no rerun. tasks: into so many files at most."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return (df if tasks is None else df.coalesce(tasks)).checkpoint()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more, as a loop's earlier rounds."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
