@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turfline.functions.storage import cut, forget, shared_folder
+
+__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "shared_folder", "texts"]
+
 #: Bytes of one Arrow batch: what a Python worker holds at a time follows from it, whatever the texts' lengths.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +28,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Long texts make Arrow batches large; a bound in bytes holds for any of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the folder that all executors share: loops then don't grow their lineage, and a lost executor costs no rerun."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Long texts make Arrow batches large; a bound in bytes holds for any of them. It is the session's setting, which is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.llm.common import cut
-
+from turfline.llm.common import cut, forget
 
 _ROWS = 100_000  # edges that a task takes
 
@@ -27,16 +26,15 @@ def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     return out.where("a != b").distinct().coalesce(tasks)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(a, b) pairs of node ids -> (node, component) with the component's least node, for each node that has an edge.
 
     Only edges move, by node, in shuffles whose aggregates are combined before; a node with many edges is a skewed
     join that AQE splits. As many tasks write a shuffle as the edges need, so that few edges don't leave many files.
-    Stops when a round changes no edge; rounds grow as the logarithm of the longest path.
+    Stops when a round changes no edge; rounds grow as the logarithm of the longest path. most: files of the first checkpoint at most.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), most)
     tasks = 1 + edges.count() // _ROWS
-    edges = edges.coalesce(tasks)
     sums = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = None
     while True:
@@ -44,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = cut(_star(_star(edges, True, tasks), False, tasks))
+        edges, done = cut(_star(_star(edges, True, tasks), False, tasks)), edges
+        forget(done)
     # each edge now goes from a node to its component's least node
     return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).unionByName(
         edges.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("component")).distinct().coalesce(tasks)

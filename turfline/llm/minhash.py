@@ -30,6 +30,7 @@ from turfline.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS, LEADERS = 5, 75, 32, 4, 2
 _BITS = 1 << 24  # of the bitmap of wanted doc_ids
+_ROWS = 8_000  # documents for each file of a checkpoint
 _STEP = 1024  # shingles whose coordinates are made at a time, to stay in the processor's cache
 
 
@@ -42,22 +43,27 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(hashing.windows(words, min(width, len(words))))
 
 
-def _pi(x: np.ndarray) -> np.ndarray:
-    """A permutation of the 32-bit numbers, in place."""
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+#: Two permutations of the 32-bit numbers, as (shift, odd factor) steps and a last shift.
+_SIGMA, _PI = ((16, 0x7FEB352D), (15, 0x846CA68B), 16), ((16, 0x85EBCA6B), (13, 0xC2B2AE35), 16)
+
+
+def _permuted(x: np.ndarray, permutation: tuple) -> np.ndarray:
+    """In place."""
+    *steps, last = permutation
+    for shift, factor in steps:
         x ^= x >> np.uint32(shift)
         x *= np.uint32(factor)
-    x ^= x >> np.uint32(16)
+    x ^= x >> np.uint32(last)
     return x
 
 
 def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash: coordinate k is the least pi(sigma(x) + k)."""
-    sigma = _pi((found ^ (found >> np.uint64(32))).astype(np.uint32) ^ np.uint32(0x5BD1E995))
+    sigma = _permuted((found ^ (found >> np.uint64(32))).astype(np.uint32), _SIGMA)
     shifts = np.arange(size, dtype=np.uint32)[:, None]
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(sigma), _STEP):
-        np.minimum(out, _pi(sigma[None, at : at + _STEP] + shifts).min(axis=1), out=out)
+        np.minimum(out, _permuted(sigma[None, at : at + _STEP] + shifts, _PI).min(axis=1), out=out)
     return out
 
 
@@ -94,31 +100,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cls, content, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                found = shingles(text or b"", width)
-                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == content:  # else another row with this doc_id
-                    out.append((cls, len(found), found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["class", "size", "found"])
+            found = [shingles(text or b"", width).view(np.int64) for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "size", "found"])
 
     slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(_BITS))
     bitmap = wanted.groupBy(F.bitmap_bucket_number(slot("rep")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("rep"))).alias("bits"))
     place = F.bitmap_bit_position(slot("doc_id"))
     byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     near = texts(docs).join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("bucket"))  # at most _BITS bits
-    near = near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", "text")
-    rows = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    return rows.select("class", "content", "text").mapInArrow(read, "class long, size long, found array<long>")
+    near = near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", _digest("text").alias("digest"), "text")
+    rows = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.coalesce("digest", F.lit(b"")) == F.col("rep_digest")))
+    return rows.select("class", "text").mapInArrow(read, "class long, size long, found array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    one = sets.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("found").alias("found_a"))
-    two = sets.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("found").alias("found_b"))
-    sizes = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    """The pairs (a, b) of classes whose full sets are similar enough. Sizes are compared first: sets go only to pairs that they leave."""
+    side = lambda x: sets.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"))
+    fit = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fit)
+    whole = lambda x: sets.select(F.col("class").alias(x), F.col("found").alias(f"found_{x}"))
     common = F.size(F.array_intersect("found_a", "found_b")).cast("long")
     similar = 100 * common >= percent * (F.col("size_a") + F.col("size_b") - common)
-    return pairs.join(one, "a").join(two, "b").where(F.when(sizes, similar).otherwise(False)).select("a", "b")
+    return sized.join(whole("a"), "a").join(whole("b"), "b").where(similar).select("a", "b")
 
 
 def _joined(parts: list[DataFrame], rows: DataFrame, column: str = "class", name: str = "component") -> DataFrame:
@@ -146,13 +150,13 @@ def _needed(size_a: str, size_b: str, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (F.col(size_a) + F.col(size_b)) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _rare_elements(sets: DataFrame, percent: int) -> DataFrame:
+def _rare_elements(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(class, size, element, place) of each set's rarest elements that others have, too: as many as a similar set can't miss all.
 
     The order is by the number of sets that have an element, then by its hash; place counts from 1.
     """
     elements = sets.select("class", "size", F.explode("found").alias("element"))
-    shared = elements.groupBy("element").agg(F.count("*").alias("holders")).where("holders > 1")
+    shared = cut(elements.groupBy("element").agg(F.count("*").alias("holders")).where("holders > 1"), tasks)  # so that the join with a frequent element is one that AQE splits
     ranked = elements.join(shared, "element", "left").select("class", "size", F.struct(F.coalesce("holders", F.lit(1)).alias("holders"), "element").alias("e"))
     ordered = ranked.groupBy("class", "size").agg(F.array_sort(F.collect_list("e")).alias("es"))  # a document's own elements
     enough = (F.col("size") - F.ceil(F.col("size") * percent / 100.0 - 1e-9) + 1).cast("int")
@@ -180,35 +184,38 @@ def _remaining_pairs(rare: DataFrame, percent: int) -> DataFrame:
     return one.join(two, "element").where(fit).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, n_shingles, component, component_id) for each row of docs with shingles; (doc_id, n_shingles) of the others."""
+def _grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, digest, n_shingles, component, component_id) for each row of docs with shingles; (doc_id, n_shingles) of the others; files for as many rows."""
     signed = cut(_signed(docs, bands, rows, width))
+    tasks = 1 + signed.count() // _ROWS
     filled = signed.where("n_shingles > 0")
-    classes = cut(
-        filled.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("class", F.monotonically_increasing_id())
-    )
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("rep")
+    classes = filled.groupBy("content").agg(rep, F.first("bands").alias("bands"))
+    classes = cut(classes.select("content", F.col("rep.doc_id").alias("rep"), F.col("rep.digest").alias("rep_digest"), "bands", F.monotonically_increasing_id().alias("class")), tasks)
     members = classes.select("class", F.explode("bands").alias("key"))
     ends = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), (F.count("*") == 2).alias("two")).where("low < high")
-    live = cut(members.join(ends, "key"))  # classes that share a bucket with another
+    live = cut(members.join(cut(ends, tasks), "key"), tasks)  # classes that share a bucket with another
     parts: list[DataFrame] = []
     if not live.isEmpty():
-        wanted = live.select("class").distinct().join(classes.select("class", "rep", "content"), "class")
-        sets = cut(_sets(docs, wanted, width))
-        parts.append(cut(components(_verified(_band_pairs(live), sets, percent))))
+        wanted = live.select("class").distinct().join(classes.select("class", "rep", "rep_digest"), "class")
+        sets = cut(_sets(docs, wanted, width), tasks)
+        if sets.count() > wanted.count():  # rows that repeat both doc_id and text
+            sets = cut(sets.dropDuplicates(["class"]), tasks)
+        parts.append(cut(components(_verified(_band_pairs(live), sets, percent), tasks), tasks))
         open_keys = _joined(parts, live.where("not two")).groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to")).where("from < to")
         rest = live.where("not two").join(open_keys, "key").select("class").distinct()
-        rare = cut(_rare_elements(sets.join(rest, "class", "left_semi"), percent))
+        rare = cut(_rare_elements(sets.join(rest, "class", "left_semi"), percent, tasks), tasks)
         if not rare.isEmpty():
             for pairs in (_typical_pairs, _remaining_pairs):
-                found = cut(_verified(pairs(_joined(parts, rare), percent), sets, percent))
+                found = cut(_verified(pairs(_joined(parts, rare), percent), sets, percent), tasks)
                 if not found.isEmpty():
                     ends = _joined(parts, _joined(parts, found, "a", "from"), "b", "to")
-                    parts.append(cut(components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")))))
+                    parts.append(cut(components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")), tasks), tasks))
     labelled = _joined(parts, classes.select("class", "content", "rep"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = labelled.join(least, "component").select("content", "component", "component_id")
     out = filled.select("doc_id", "digest", "n_shingles", "content").join(named, "content").drop("content")
-    return out, signed.where("n_shingles = 0").select("doc_id", "n_shingles")
+    return out, signed.where("n_shingles = 0").select("doc_id", "n_shingles"), tasks
 
 
 def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     get a row each. A null doc_id never is a component_id unless all of its component's are null. Other columns of
     docs are ignored; an empty table gives an empty table.
     """
-    linked, alone = _grouped(docs, **options)
+    linked, alone, _ = _grouped(docs, **options)
     out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.withColumn("component_id", F.col("doc_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -230,10 +237,10 @@ def keep_one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     Rows are told apart by doc_id and text, so null or shared ids lose no text: of a group the row of the least doc_id
     (null comes last) and digest stays. Rows that repeat both are copies, of which one stays.
     """
-    linked, _ = _grouped(docs, **options)
+    linked, _, tasks = _grouped(docs, **options)
     rows = linked.groupBy("component", "doc_id", "digest").agg((F.count("*") > 1).alias("many"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "many")).alias("least")
-    stay = cut(rows.groupBy("component").agg(least).select(*[F.col(f"least.{c}").alias(f"__{c}") for c in ("doc_id", "digest", "many")]))
+    stay = cut(rows.groupBy("component").agg(least).select(*[F.col(f"least.{c}").alias(f"__{c}") for c in ("doc_id", "digest", "many")]), tasks)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (_digest("text") == F.col("__digest"))
     blank = docs.where(~F.coalesce(F.col("text").cast("string").rlike("[^ \\t-\\r]"), F.lit(False)))
     out = docs.join(stay.where("not __many"), same, "left_semi").unionByName(blank)

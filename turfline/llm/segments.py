@@ -2,7 +2,9 @@
 
 In byte-level BPE no match of the splitting pattern goes from a non-space into a space, so a text may be cut before
 every space that follows a non-space. Most segments are a space and a word; they come again and again, so a worker
-keeps their ids in a bounded table and joins the bytes of its entries for each text.
+keeps their ids in a table and joins the bytes of its entries for each text. The table has two generations: when the
+younger one holds KEPT segments it becomes the older one, whose entries come back when they are met again, so a worker's
+memory is bounded and the common segments stay.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import regex
 _WIDE = re.compile(r"\s ")  # a space that doesn't follow a non-space
 _CUT = regex.compile(r"(?V1)(?<=[^\s\x1c-\x1f])(?= )")
 _HEAD = "\ud800"  # marks a segment without the leading space; no valid text holds it
-KEPT, LONGEST, SLICE = 600_000, 48, 1 << 21
+KEPT, LONGEST, SLICE = 150_000, 48, 1 << 20
 
 
 def _slices(text: str) -> Iterator[str]:
@@ -45,13 +47,17 @@ class SegmentTable:
     """encode: from a list of segments to their ids as bytes; called once for each segment that isn't in the table."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.ids = encode, {}
+        self.encode, self.ids, self.older = encode, {}, {}
 
     def _fill(self, keys: set[str]) -> list[str]:
-        missing = list(keys.difference(self.ids))
-        if len(self.ids) + len(missing) > KEPT:
-            self.ids.clear()
-            missing = list(keys)
+        if len(self.ids) > KEPT:
+            self.ids, self.older = {}, self.ids
+        new = keys.difference(self.ids)
+        if self.older:
+            known = new.intersection(self.older)
+            self.ids.update((k, self.older[k]) for k in known)
+            new -= known
+        missing = list(new)
         self.ids.update(zip(missing, self.encode([k[1:] if k[:1] == _HEAD else " " + k for k in missing]), strict=True))
         return [k for k in missing if len(k) > LONGEST]
 
