@@ -37,6 +37,34 @@ def model(rows, keep):
     return fold(dicts, keep, C.EloConfig())
 
 
+def seconds_of(x):
+    return (x - datetime(1970, 1, 1)).total_seconds()
+
+
+@pytest.mark.parametrize("deadline", [5, 0, None])
+@pytest.mark.parametrize("entity,keep,chunk", [("jockey", 7, 10), ("trainer", 9, 15), ("trainer", 1, 1), ("jockey", 100, 50_000)])
+def test_counts_equal_the_fold(spark, entity, keep, chunk, deadline):
+    """An entity rides several horses of a race here, so chunks and evictions fall inside races."""
+    rows = card(4)
+    column = {"jockey": 7, "trainer": 8}[entity]
+    config = C.HistoryConfig(chunk_rows=chunk, deadline_minutes=deadline)
+    got = history.with_counts(history.eligible(spark.createDataFrame(rows, SCHEMA)), entity, keep, (1, 14), config).collect()
+    races = {}
+    for x in rows:
+        races.setdefault((x[2], x[0]), []).append(x)
+    past, want = {}, {}
+    for _, race in sorted(races.items()):
+        if len(race) < 2:
+            continue
+        for x in race:
+            if x[column] is not None:
+                seen = [y for y in past.get(x[column], [])[-keep:] if deadline is None or seconds_of(y[2]) < seconds_of(x[2]) - 60 * deadline]
+                want[x[:2]] = [tuple(sum(v) for v in zip((0, 0, 0), *[(1, y[10], y[11]) for y in seen if (x[3] - y[3]).days <= d], strict=True)) for d in (1, 14)]
+        for x in race:
+            past.setdefault(x[column], []).append(x)
+    assert {(x.race_id, x.row_no): [tuple(x._seen_1), tuple(x._seen_14)] for x in got} == want
+
+
 @pytest.mark.parametrize("entity,keep,chunk", [("horse", 4, 6), ("jockey", 7, 10), ("trainer", 9, 15), ("trainer", 150, 50_000)])
 def test_histories_equal_the_fold(spark, entity, keep, chunk):
     rows = card(3)
@@ -62,8 +90,13 @@ def test_ratings_equal_the_fold(spark):
         assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-4)
     last = {x.horse: x.elo for x in elo.final_ratings(rated, frame).collect()}
     assert set(last) == set(final) and all(abs(last[h] - final[h]) < 1e-4 for h in final)
-    sums = frame.join(rated, ["race_id", "row_no"]).select("race_id", elo.implied_probability(F.col("horse_elo_pre_race")).alias("p")).groupBy("race_id").agg(F.sum("p").alias("s")).where("s is not null").collect()
-    assert all(abs(x.s - 1) < 1e-9 for x in sums)
+    chances = {}
+    for x in frame.join(rated, ["race_id", "row_no"]).select("race_id", "horse_elo_pre_race", elo.implied_probability(F.col("horse_elo_pre_race")).alias("p")).collect():
+        chances.setdefault(x.race_id, []).append((x.horse_elo_pre_race, x.p))
+    for race in chances.values():  # runners without a rating count at the default one
+        strengths = [10 ** ((1500 if e is None else e) / 400) for e, _ in race]
+        assert all((p is None) == (e is None) and (p is None or abs(p - s / sum(strengths)) < 1e-9) for (e, p), s in zip(race, strengths, strict=True))
+    assert any(abs(sum(p or 0 for _, p in race) - 1) < 1e-9 for race in chances.values())
 
 
 def test_legacy_scores_of_non_finishers(spark):
@@ -111,6 +144,12 @@ def test_resume_equals_the_full_run(spark, tmp_path):
             assert x[c] == y[c] or abs(x[c] - y[c]) < 1e-4, c
 
 
+def test_unconverged_ratings_raise(spark, monkeypatch):
+    monkeypatch.setattr(elo, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        elo.ratings(spark.createDataFrame(card(5), SCHEMA))
+
+
 def test_first_timer_defaults(spark):
     rows = [(f"r{k}", n, START, START, "t", "t", f"h{n}", "j", "s", float(n), int(n == 1), 0, 70.0, 130.0, 1000.0, "Good", "Hood", None, 4, n, 2, "x", None) for k in (0,) for n in (1, 2)]
     x = chrono.chronological(spark.createDataFrame(rows, SCHEMA)).where("row_no = 1").first()
@@ -123,6 +162,8 @@ def test_first_timer_defaults(spark):
 
 def test_feature_table_has_all_columns(spark):
     made = features.build(spark.createDataFrame(card(2, races=30), SCHEMA).withColumn("days_since_last_time_out", F.lit(10)))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("Scan") < 20
     have = set(made.columns)
     assert not {"pos", "position"} & have
     for name, rules in derived.GROUPS.items():

@@ -59,7 +59,8 @@ def test_checks_and_reports(spark):
         clean.validate(runners.withColumn("won", F.lit(0)))
     with pytest.raises(ValueError):
         clean.validate(runners.withColumn("horse", F.lit(None).cast("string")))
-    assert {x.column_name for x in clean.missing_over(runners, 4.0).collect()} == {"pos"}
+    assert {x.column_name for x in clean.missing_over(runners, 4.0).collect()} == {"pos", "stall", "class", "headgear", "forecasted_odds", "days_since_last_time_out"}
+    assert {x.column_name for x in clean.missing_over(runners, 20.0).collect()} < {"stall", "forecasted_odds"}
     assert clean.suspicious_names(["actual_distance_change_m", "age"]) == ["actual_distance_change_m"]
     assert clean.column_groups(["or_a", "or_b", "x"]) == {"or": ["or_a", "or_b"], "x": ["x"]}
     leaky = runners.withColumns({"Betfair_SP_x": F.lit(1.0), "ratio": F.lit(float("inf"))})
@@ -101,20 +102,49 @@ def test_selection_rules(spark):
     assert selection.low_variance(frame, columns) == ["flat", "holes"]
     assert selection.correlated(frame, ["a", "b", "c"], 0.98) == ["a"]
     assert selection.correlated(frame, ["a", "b", "c"], 0.98, any_partner=True) == ["b"]
-    assert selection.within_cumulative({"x": 0.6, "y": 0.39, "z": 0.01, "o": 0.0}, 0.995) == ["x", "y"]
-    assert selection.within_cumulative({"x": 1.0}, 0.995) == ["x"]
+    table = lambda **x: spark.createDataFrame(list(x.items()), "feature string, importance double")
+    assert selection.within_cumulative(table(x=0.6, y=0.39, z=0.01, o=0.0), 0.995) == ["x", "y"]
+    assert selection.within_cumulative(table(x=1.0), 0.995) == ["x"]
+
+
+def test_of_equal_variances_the_later_column_stays(spark):
+    frame = spark.createDataFrame([(float(k), float(k), -float(k)) for k in range(20)], "a double, b double, c double")
+    assert selection.correlated(frame, ["a", "b", "c"], 0.98) == ["a", "b"]
 
 
 def test_selector(spark):
     runners = derived.apply(star.runners(spark, "/root/testdata/sf0.001"), "market")
-    split = selection.with_split(runners)
-    chosen = selection.Selector(C.SelectionConfig()).fit(split.where("split = 'train'"), split.where("split = 'val'"), trees=3)
+    split = selection.with_split(runners).persist()
+    train, val = split.where("split = 'train'"), split.where("split = 'val'")
+    chosen = selection.Selector(C.SelectionConfig(trees=3, permutation_repeats=2)).fit(train, val)
     assert "pos" not in chosen.kept and "placed" not in chosen.kept and chosen.kept
-    assert 0.5 <= chosen.report["train_auc"] <= 1
+    assert 0.5 <= chosen.report["train_auc"] <= 1 and 0 < chosen.report["val_auc"] <= 1 and 1 <= chosen.report["trees"] <= 3
     out = chosen.transform(split)
     assert out.columns == [c for c in (*C.ID_COLUMNS, "won", *chosen.kept) if c in split.columns]
-    losses = chosen.permutation_importance(split.where("split = 'val'"), repeats=1)
-    assert set(losses) == set(chosen.kept)
+    assert [x.importance for x in chosen.top(2).collect()] == sorted((x.importance for x in chosen.importances.collect()), reverse=True)[:2]
+    losses = {x.feature: x.loss_mean for x in chosen.permuted.collect()}
+    assert set(losses) == {x.feature for x in chosen.importances.collect()} and len(chosen.report["permutation"]) == len(losses)
+    with pytest.raises(ValueError):
+        selection.Selector().fit(train.drop("won"))
+
+
+def test_validation_rows_stop_training(spark):
+    noise = spark.range(2000).selectExpr("id", "cast(rand(1) < 0.3 as int) as won", "rand(2) as x", "rand(3) as y", "timestamp_ntz'2024-01-01 00:00:00' as race_datetime").persist()
+    many = selection.Selector(C.SelectionConfig(trees=30, permutation=False, cumulative_importance=1.0)).fit(noise.where("id < 1500").drop("id"), noise.where("id >= 1500").drop("id"))
+    assert many.report["trees"] < 30
+
+
+def test_permutation_finds_what_matters(spark):
+    rows = spark.range(3000).selectExpr("cast(rand(1) as double) as x", "rand(2) as y", "timestamp_ntz'2024-01-01 00:00:00' as race_datetime").withColumn("won", (F.col("x") > 0.6).cast("int")).persist()
+    chosen = selection.Selector(C.SelectionConfig(trees=2, permutation_repeats=3)).fit(rows, rows)
+    losses = {x.feature: x.loss_mean for x in chosen.permuted.collect()}
+    assert losses["x"] > 0.4 and abs(losses["y"]) < 0.02
+
+
+def test_older_selector(spark):
+    frame = spark.createDataFrame([(k, 2.0 * k, float(k % 5), 1e-7 * (k % 2), int(k % 3 == 0)) for k in range(60)], "a int, b double, c double, flat double, won int").withColumn("race_datetime", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    chosen = selection.Selector(C.OLDER_SELECTION).fit(frame)
+    assert (chosen.kept, chosen.report["low_variance"], chosen.report["correlated"], chosen.importances) == (["a", "c"], ["flat"], ["b"], None)
 
 
 def test_plans_stay_native(spark):

@@ -21,7 +21,7 @@ class HistoryConfig:
     horse: int = 30
     jockey: int = 100
     trainer: int = 150
-    deadline_minutes: int = 5
+    deadline_minutes: int | None = 5  # None: the older generation, which sees all earlier races
     chunk_rows: int = 50_000  # rows of one entity that share a window partition
 
 
@@ -35,15 +35,24 @@ class FeatureConfig:
 @dataclass(frozen=True)
 class SelectionConfig:
     variance_threshold: float = 1e-6
+    strict_variance: bool = False  # whether a variance equal to the threshold stays
     correlation_threshold: float = 0.98
+    any_partner: bool = False  # whether every column with an earlier partner goes, whatever the variances
+    use_model: bool = True
     cumulative_importance: float = 0.995
+    trees: int = 100
+    stop_below: float = 1e-4  # the share of the validation error that one more tree must win, else training stops
+    permutation: bool = True  # reported only
+    permutation_repeats: int = 10
     test_size: float = 0.15
     val_size: float = 0.15
-    strict_variance: bool = False  # the older selector drops below the threshold only
-    permutation_repeats: int = 10
     seed: int = 42
 
 
+#: The older generation's selector: rules alone, without a model.
+OLDER_SELECTION = SelectionConfig(strict_variance=True, correlation_threshold=0.999, any_partner=True, use_model=False)
+
+
 #: Scales of going: one for changes between races, one for the firmness index. Fixed values.
 GOING_CHANGE = {
     "Firm": 5.0, "Good to Firm": 4.0, "Good": 3.0, "Good to Yielding": 2.5, "Good to Soft": 2.0, "Yielding": 1.5, "Yielding to Soft": 1.0,
@@ -74,6 +83,8 @@ LEAKAGE_PARTS = (
     "pct_bsp_reduction", "pct_bsp_inflation", "placed_in_betfair_market",
 )
 LEAKAGE_NAMES = ("pos", "position")
+#: The same but for the starting prices, which the older generation's features read.
+RESULT_PARTS = tuple(x for x in LEAKAGE_PARTS if x not in ("betfair_sp", "industry_sp", "sp_fav"))
 
 #: Identifiers and result columns that selection never offers to a model. Fixed values.
 ID_COLUMNS = ("race_id", "horse", "race_datetime", "date_of_race", "time", "course", "track", "jockey", "trainer", "country", "betting_deadline")

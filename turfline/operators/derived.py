@@ -176,7 +176,7 @@ SPECIALIST: list[list[Rule]] = [
 
 FORM_TREND: list[list[Rule]] = [
     [
-        ("place_to_win_ratio", "win_rate_career place_rate_career", "CASE WHEN win_rate_career > 0 THEN place_rate_career / win_rate_career ELSE place_rate_career * 5 END"),
+        ("place_to_win_ratio", "win_rate_last_5 place_rate_last_5", "CASE WHEN win_rate_last_5 > 0 THEN place_rate_last_5 / win_rate_last_5 ELSE place_rate_last_5 * 5 END"),
         *_flags(
             ("has_recent_win", "win_rate_last_5", "win_rate_last_5 > 0"),
             ("has_recent_place", "place_rate_last_5", "place_rate_last_5 > 0"),
@@ -201,7 +201,7 @@ RECENCY: list[list[Rule]] = [
             ("fresh_horse", _SINCE, f"{_SINCE} >= 60"), ("very_fresh", _SINCE, f"{_SINCE} >= 90"), ("quick_return", _SINCE, f"{_SINCE} <= 7"),
             ("very_quick_return", _SINCE, f"{_SINCE} <= 3"), ("optimal_rest", _SINCE, f"{_SINCE} BETWEEN 14 AND 30"), ("layoff_0_14_days", _SINCE, f"{_SINCE} <= 14"),
             ("layoff_15_30_days", _SINCE, f"{_SINCE} BETWEEN 15 AND 30"), ("layoff_31_60_days", _SINCE, f"{_SINCE} BETWEEN 31 AND 60"), ("layoff_61_plus_days", _SINCE, f"{_SINCE} > 60"),
-            ("frequent_runner", "runs_last_30_days", "runs_last_30_days >= 3"), ("infrequent_runner", "runs_last_90_days", "runs_last_90_days = 0"),
+            ("frequent_runner", "runs_last_30_days", "runs_last_30_days >= 3"), ("infrequent_runner", "runs_last_30_days", "runs_last_30_days = 0"),
         ),
     ]
 ]
@@ -233,10 +233,10 @@ _E = "horse_elo_pre_race"
 
 
 def second_gap(x: str) -> str:
-    """Of the race's best from its second best: 0 for a single runner, null with fewer than two known values."""
+    """Of the race's best from its second best: 0 for a single runner or a single known value, null without any."""
     best = f"max({x}) {RACE}"
     below = f"max(CASE WHEN _place > 1 THEN {x} END) {RACE}"
-    return f"CASE WHEN count(*) {RACE} < 2 THEN 0.0D ELSE {best} - {below} END"
+    return f"CASE WHEN count(*) {RACE} < 2 THEN 0.0D ELSE {best} - coalesce({below}, {best}) END"
 
 
 ELO: list[list[Rule]] = [
@@ -271,8 +271,8 @@ RATING_MOMENTUM: list[list[Rule]] = [
 HEADGEAR: list[list[Rule]] = [
     [
         *_flags(
-            ("has_headgear", "headgear", "headgear <> 'None'"), ("has_blinkers", "headgear", "lower(headgear) LIKE '%blinkers%'"), ("has_visor", "headgear", "lower(headgear) LIKE '%visor%'"),
-            ("has_cheekpieces", "headgear", "lower(headgear) LIKE '%cheekpieces%'"), ("has_hood", "headgear", "lower(headgear) LIKE '%hood%'"), ("has_tongue_tie", "headgear", "lower(headgear) LIKE '%tongue%'"),
+            ("has_headgear", "headgear", "headgear <> 'None'"), ("has_blinkers", "headgear", "lower(headgear) LIKE '%blinker%'"), ("has_visor", "headgear", "lower(headgear) LIKE '%visor%'"),
+            ("has_cheekpieces", "headgear", "lower(headgear) LIKE '%cheek%'"), ("has_hood", "headgear", "lower(headgear) LIKE '%hood%'"), ("has_tongue_tie", "headgear", "lower(headgear) LIKE '%tongue%'"),
             ("first_time_gear", "headgear_first_time", "headgear_first_time = 1"), ("gear_changed", "headgear_change", "headgear_change = 1"),
         )
     ]
@@ -292,7 +292,7 @@ INTERACTIONS: list[list[Rule]] = [
         ("field_quality_squared", "field_quality_avg_or", "field_quality_avg_or * field_quality_avg_or"),
         ("or_times_field_quality", "official_rating field_quality_avg_or", "official_rating * field_quality_avg_or"),
         ("or_squared", "official_rating", "official_rating * official_rating"), ("or_times_surface_wr", "official_rating surface_win_rate", "official_rating * surface_win_rate"),
-        ("or_per_weight", "official_rating weight_lbs", "official_rating / nullif(weight_lbs + 1, 0)"), ("wr_times_experience", "win_rate_career total_career_runs", "win_rate_career * total_career_runs"),
+        ("or_per_weight", "official_rating weight_lbs", "official_rating / nullif(weight_lbs + 1, 0)"), ("wr_times_experience", "win_rate_last_5 total_career_runs", "win_rate_last_5 * total_career_runs"),
         ("age_times_career_runs", "age total_career_runs", "CAST(age * total_career_runs AS DOUBLE)"), ("age_times_rating", "age official_rating", "age * official_rating"),
         ("course_times_distance_exp", "course_experience distance_experience", "CAST(course_experience * distance_experience AS DOUBLE)"),
         ("jockey_trainer_combined_form", "jockey_strike_rate_14d trainer_strike_rate_14d", "(jockey_strike_rate_14d + trainer_strike_rate_14d) / 2"),
@@ -314,7 +314,7 @@ LEGACY_MARKET: list[list[Rule]] = [
         ("prime_age", "age", flag("age BETWEEN 3 AND 5")),
     ],
     [
-        ("market_book_percentage", "implied_prob_bsp", f"sum(implied_prob_bsp) {RACE}"),
+        ("market_book_percentage", "implied_prob_bsp", f"coalesce(sum(implied_prob_bsp) {RACE}, 0.0D)"),
         ("is_favorite", "bsp_rank sp_fav", flag("sp_fav = 1")),
         ("is_favorite", "bsp_rank", flag("bsp_rank = 1")),
         ("is_second_favorite", "bsp_rank", flag("bsp_rank = 2")),
@@ -322,11 +322,14 @@ LEGACY_MARKET: list[list[Rule]] = [
         ("odds_drift_pct", "odds_drift_forecast_to_bsp", "odds_drift_forecast_to_bsp / nullif(forecasted_odds, 0)"),
         ("odds_shortened", "odds_drift_forecast_to_bsp", flag("odds_drift_forecast_to_bsp < 0")),
         ("odds_drifted", "odds_drift_forecast_to_bsp", flag("odds_drift_forecast_to_bsp > 0")),
-        ("fav_prob_concentration", "implied_prob_bsp", f"max(implied_prob_bsp) {RACE} / nullif(sum(implied_prob_bsp) {RACE}, 0)"),
+        ("fav_prob_concentration", "implied_prob_bsp", f"CASE WHEN sum(implied_prob_bsp) {RACE} > 0 THEN max(implied_prob_bsp) {RACE} / sum(implied_prob_bsp) {RACE} ELSE 0.0D END"),
         ("value_signal_elo_vs_bsp", "implied_prob_bsp elo_implied_prob", "elo_implied_prob - implied_prob_bsp"),
         ("above_average_runner", "or_vs_field_quality", flag("or_vs_field_quality > 0")),
     ],
-    [("weak_favorite", "is_favorite betfair_sp", flag("is_favorite = 1 AND betfair_sp > 4"))],
+    [
+        ("weak_favorite", "is_favorite betfair_sp", flag("is_favorite = 1 AND betfair_sp > 4")),
+        ("place_to_win_ratio", "win_rate_last_5 place_rate_last_5", "CASE WHEN win_rate_last_5 > 0 THEN place_rate_last_5 / win_rate_last_5 END"),
+    ],
 ]
 
 GROUPS: dict[str, list[list[Rule]]] = {

@@ -2,24 +2,25 @@
 
 Ratings are recursive across horses, so in principle all races form one sequence. They are solved by waveform
 relaxation instead: every round takes the opponents' ratings of the round before as given and follows each horse's own
-races in order. A round is two shuffles, by race and by horse, whatever the number of races; an error in an opponent's
-rating counts for less than a twentieth of itself, and only forwards in time, so rounds are few (some fifteen for
-histories of thirty races) and the limit is exactly the sequential result. Rounds stop when no rating moves by more
-than TOLERANCE.
+races in order, all horses of a batch at once in numpy. A round is two shuffles, by race and by horse, whatever the
+number of races; an error in an opponent's rating counts for less than a twentieth of itself, and only forwards in time,
+so rounds are few (some twenty for histories of thirty races) and the limit is exactly the sequential result. Rounds stop
+when no rating moves by more than TOLERANCE.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.config import EloConfig
-from turfline.functions.storage import cut
+from turfline.functions.storage import cut, forget
 
-TOLERANCE, ROUNDS = 1e-7, 500
+TOLERANCE, ROUNDS = 1e-10, 500
 
 
 def actual_score(config: EloConfig = EloConfig()) -> Column:
@@ -37,27 +38,51 @@ def actual_score(config: EloConfig = EloConfig()) -> Column:
     return F.when(out, F.lit(0.0)).otherwise((behind + 2 * missing) / (n - 1))  # a finisher beats each non-finisher twice
 
 
-def change(before: float, others: list[float], actual: float, config: EloConfig = EloConfig()) -> float:
-    """The rating after a race, from the opponents' ratings before it."""
-    expected = sum(1 / (1 + 10 ** ((o - before) / config.base)) for o in others) / len(others) if others else 0.5
+_STATE = "race_id string, row_no int, race_datetime timestamp_ntz, horse string, who string, known boolean, start double, actual double, pre double, post double, gap double"
+_NAMES = [x.split()[0] for x in _STATE.split(", ")]
+
+
+def changed(before: np.ndarray, strengths: np.ndarray, rivals: np.ndarray, actual: np.ndarray, config: EloConfig = EloConfig()) -> np.ndarray:
+    """The ratings of runners after a race each. strengths: 10 ** (rating / base) of the rivals in a row for each runner, infinite where there are fewer."""
+    own = np.power(10.0, before / config.base)[:, None]
+    expected = np.where(rivals > 0, (1 / (1 + strengths / own)).sum(axis=1) / np.maximum(rivals, 1), 0.5)
     rated = before + config.k_factor * (actual - expected)
     rated += config.regression * (config.default_rating - rated)
-    return min(config.ceiling, max(config.floor, rated))
+    return np.clip(rated, config.floor, config.ceiling)
 
 
 def _follow(config: EloConfig):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows in the order of horses and races: each horse's ratings from one race to the next, given its opponents'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         horse, rating = None, config.default_rating
-        for frame in frames:
-            pre, post = [], []
-            for h, start, known, actual, others in zip(frame["horse"], frame["start"], frame["known"], frame["actual"], frame["others"], strict=True):
-                if h != horse:
-                    horse, rating = h, start
-                before = rating if known else config.default_rating  # a runner without all its people starts anew
-                rating = change(before, others.tolist(), actual, config)
-                pre.append(before)
-                post.append(rating)
-            yield pd.DataFrame({"race_id": frame["race_id"], "row_no": frame["row_no"], "pre_new": pre, "post": post})
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            lists = x["others"]
+            ends = lists.offsets.to_numpy()
+            rivals = np.diff(ends)
+            strengths = np.full((n, max(1, int(rivals.max()))), np.inf)
+            strengths[np.arange(strengths.shape[1]) < rivals[:, None]] = np.power(10.0, lists.values.to_numpy()[ends[0] : ends[-1]] / config.base)
+            known, start, actual, old = (x[c].to_numpy(zero_copy_only=False) for c in ("known", "start", "actual", "pre"))
+            who = x["who"].dictionary_encode()
+            firsts = np.flatnonzero(np.diff(who.indices.to_numpy(), prepend=-1))
+            lengths = np.diff(firsts, append=n)
+            now = start[firsts].astype(float)
+            if x["who"][0].as_py() == horse:
+                now[0] = rating
+            pre, post = np.empty(n), np.empty(n)
+            for step in range(int(lengths.max())):  # the step-th race of each horse
+                going = np.flatnonzero(lengths > step)
+                at = firsts[going] + step
+                before = np.where(known[at], now[going], config.default_rating)  # a runner without all its people starts anew
+                now[going] = changed(before, strengths[at], rivals[at], actual[at], config)
+                pre[at], post[at] = before, now[going]
+            horse, rating = x["who"][n - 1].as_py(), float(now[-1])
+            made = x | {"pre": pa.array(pre), "post": pa.array(post), "gap": pa.array(np.abs(pre - old))}
+            yield pa.RecordBatch.from_arrays([made[c] for c in _NAMES], _NAMES)
 
     return run
 
@@ -70,33 +95,35 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
     """
     rows = df.withColumn("_n", F.count("*").over(Window.partitionBy("race_id"))).where("_n >= 2")
     known = F.col("horse").isNotNull() & F.col("jockey").isNotNull() & F.col("trainer").isNotNull()
-    rows = rows.select("race_id", "row_no", "race_datetime", "horse", known.alias("known"), F.col("pos").cast("double").alias("pos"))
+    who = F.coalesce(F.col("horse").cast("string"), F.concat(F.lit("\0"), "race_id", F.lit("\0"), F.col("row_no").cast("string")))  # one without a name meets nobody again
+    rows = rows.select(F.col("race_id").cast("string").alias("race_id"), F.col("row_no").cast("int").alias("row_no"), F.col("race_datetime").cast("timestamp_ntz").alias("race_datetime"), F.col("horse").cast("string").alias("horse"), who.alias("who"), known.alias("known"), F.col("pos").cast("double").alias("pos"))
     rows = rows.withColumn("actual", actual_score(config).cast("double")).drop("pos")
     if initial is None:
         rows = rows.withColumn("start", F.lit(config.default_rating))
     else:
-        old = initial.select("horse", F.col("elo").cast("double").alias("start"))
+        old = initial.select(F.col("horse").cast("string").alias("horse"), F.col("elo").cast("double").alias("start"))
         rows = rows.join(old, "horse", "left").withColumn("start", F.coalesce("start", F.lit(config.default_rating)))
-    state = cut(rows.withColumns({"pre": F.when(F.col("known"), F.col("start")).otherwise(F.lit(config.default_rating)), "post": F.lit(None).cast("double")}))
+    state = cut(rows.withColumn("pre", F.when(F.col("known"), F.col("start")).otherwise(F.lit(config.default_rating))))
     for _ in range(ROUNDS):
         field = F.collect_list(F.struct("row_no", "pre")).over(Window.partitionBy("race_id"))
-        others = F.transform(F.filter(field, lambda r: r["row_no"] != F.col("row_no")), lambda r: r["pre"])
-        met = state.drop("post").withColumn("others", others)
-        named = met.where("horse is not null").repartition("horse").sortWithinPartitions("horse", "race_datetime", "race_id", "row_no")
-        moved = named.select("race_id", "row_no", "horse", "start", "known", "actual", "others").mapInPandas(_follow(config), "race_id string, row_no int, pre_new double, post double")
-        joined = state.drop("post").join(moved, ["race_id", "row_no"], "left").withColumn("gap", F.coalesce(F.abs(F.col("pre_new") - F.col("pre")), F.lit(0.0)))
-        state = cut(joined.withColumn("pre", F.coalesce("pre_new", "pre")).drop("pre_new"))
+        others = F.filter(field, lambda r: r["row_no"] != F.col("row_no"))["pre"]
+        met = state.select("race_id", "row_no", "race_datetime", "horse", "who", "known", "start", "actual", "pre", others.alias("others"))
+        ordered = met.repartition("who").sortWithinPartitions("who", "race_datetime", "race_id", "row_no")
+        state, done = cut(ordered.mapInArrow(_follow(config), _STATE)), state
+        forget(done)
         gap = state.agg(F.max("gap")).first()[0]
-        state = state.drop("gap")
         if gap is None or gap <= TOLERANCE:
             break
-    return state.select("race_id", "row_no", F.when(F.col("known"), F.col("pre")).alias("horse_elo_pre_race"), F.col("post").alias("elo_after"))
+    else:
+        raise RuntimeError(f"ratings still move by {gap} after {ROUNDS} rounds")
+    after = F.when(F.col("horse").isNotNull(), F.col("post"))
+    return state.select("race_id", "row_no", F.when(F.col("known"), F.col("pre")).alias("horse_elo_pre_race"), after.alias("elo_after"))
 
 
 def implied_probability(rating: Column, config: EloConfig = EloConfig()) -> Column:
-    """Of winning, within the race."""
-    power = F.pow(F.lit(10.0), rating / config.base)
-    return power / F.sum(power).over(Window.partitionBy("race_id"))
+    """Of winning, within the race. A runner without a rating has none, but counts among the others at the default rating."""
+    power = lambda x: F.pow(F.lit(10.0), x / config.base)
+    return power(rating) / F.sum(power(F.coalesce(rating, F.lit(config.default_rating)))).over(Window.partitionBy("race_id"))
 
 
 def final_ratings(rated: DataFrame, df: DataFrame) -> DataFrame:

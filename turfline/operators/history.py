@@ -1,11 +1,13 @@
 """Point-in-time histories: for each runner, what was known of its horse, jockey or trainer before betting closed.
 
 An entity's records are numbered in the order of races. A runner sees the last N records that were filed in earlier
-races, those of its own race never, less those at or after its deadline: such records aren't seen but take a place.
+races, those of its own race never, less those at or after its deadline: such records aren't seen but take a place. So
+what a runner sees is one range of numbers, and counts over it are differences of running sums; only features that need
+the records themselves collect them.
 
 Scale: numbering uses counts by (entity, day) and numbers within a day, so no window holds an entity's whole past. The
-frames then run over chunks of one entity's rows, each with the tail of the chunk before as context: an entity with a
-third of all rows is split like any other, and a runner's cost is bounded by N.
+frames then run over chunks of one entity's rows, each with the last records of the chunk before as context: an entity
+with a third of all rows is split like any other, and what a runner collects is bounded by N.
 """
 
 from __future__ import annotations
@@ -18,11 +20,16 @@ from pyspark.sql import functions as F
 from turfline.config import HistoryConfig
 
 ORDER = ("race_datetime", "race_id", "row_no")
+_HELPERS = ("_key", "_seq", "_first", "_place")
 
 
 def seconds(moment: Column) -> Column:
     """Seconds since 1970 of a timestamp's own clock, whatever the zone."""
-    return F.datediff(F.to_date(moment), F.lit("1970-01-01")).cast("long") * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+    return day(moment).cast("long") * 86400 + F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+
+
+def day(moment: Column) -> Column:
+    return F.datediff(F.to_date(moment), F.lit("1970-01-01"))
 
 
 def eligible(df: DataFrame) -> DataFrame:
@@ -32,51 +39,73 @@ def eligible(df: DataFrame) -> DataFrame:
 
 def record(fields: Sequence[str]) -> Column:
     """What is filed of a run: when, and the fields wanted. A missing position is 99; headgear None; won and placed are truths."""
-    made: Mapping[str, Column] = {
-        "day": F.datediff(F.to_date("race_datetime"), F.lit("1970-01-01")),
-        "position": F.coalesce(F.col("pos"), F.lit(99.0)),
-        "won": F.col("won") == 1,
-        "placed": F.col("placed") == 1,
-    }
-    return F.struct(F.col("_seq").alias("seq"), seconds(F.col("race_datetime")).alias("at"), *[made.get(f, F.col(f) if f not in made else None).alias(f) for f in fields])
-
-
-def numbered(df: DataFrame, entity: str) -> DataFrame:
-    """df with _seq, the number of each row among its entity's rows in order; rows without the entity go."""
-    rows = df.where(F.col(entity).isNotNull()).withColumn("_day", F.to_date("race_datetime"))
-    counts = rows.groupBy(entity, "_day").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(entity).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col(entity).alias("_e"), F.col("_day").alias("_d"), before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(entity, "_day").orderBy(*ORDER))
-    rows = rows.withColumn("_inside", inside)
-    return rows.join(starts, (F.col(entity) == F.col("_e")) & (F.col("_day") == F.col("_d"))).withColumn("_seq", F.col("_before") + F.col("_inside")).drop("_e", "_d", "_before", "_inside", "_day")
-
-
-def with_history(df: DataFrame, entity: str, keep: int, fields: Sequence[str], name: str, config: HistoryConfig = HistoryConfig(), most_in_race: int | None = None) -> DataFrame:
-    """df's rows that have the entity, with `name`: the array of records that each sees, oldest first.
-
-    most_in_race: the most rows that an entity has in a race; counted if it isn't told.
+    made: Mapping[str, Column] = {"day": day(F.col("race_datetime")), "position": F.coalesce(F.col("pos"), F.lit(99.0)), "won": F.col("won") == 1, "placed": F.col("placed") == 1}
+    return F.struct(seconds(F.col("race_datetime")).alias("at"), *[made.get(f, F.col(f)).alias(f) if f in made else F.col(f) for f in fields])
+
+
+def numbered(df: DataFrame, entity: str, key: Column | None = None) -> DataFrame:
+    """df with _key, the entity (or what key makes of it), _seq, the number of each row among its key's rows in order, and _first, that of its race's first row.
+
+    Rows without a key go.
     """
-    if most_in_race is None:
-        most_in_race = df.groupBy(entity, "race_id").count().agg(F.max("count")).first()[0] or 1
-    reach = keep + most_in_race
-    size = max(config.chunk_rows, reach)
-    rows = numbered(df, entity).withColumn("_first", F.min("_seq").over(Window.partitionBy(entity, "race_id")))
-    chunk = F.floor((F.col("_seq") - 1) / size)
-    tail = (F.col("_seq") - 1) % size >= size - reach
-    own, context = F.struct(chunk.alias("chunk"), F.lit(True).alias("own")), F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own"))
-    spread = rows.withColumn("_at", F.explode(F.when(tail, F.array(own, context)).otherwise(F.array(own))))
-    frame = Window.partitionBy(entity, "_at.chunk").orderBy("_seq").rowsBetween(-reach, -1)
-    seen = F.array_sort(F.collect_list(record(fields)).over(frame))
-    deadline = seconds(F.col("race_datetime")) - 60 * config.deadline_minutes
-    out = spread.withColumn("_seen", seen).where("_at.own")
-    visible = F.filter("_seen", lambda r: (r["seq"] < F.col("_first")) & (r["seq"] >= F.col("_first") - keep) & (r["at"] < deadline))
-    return out.withColumn(name, visible).drop("_seen", "_at", "_seq", "_first")
-
-
-def latest_records(df: DataFrame, entity: str, keep: int, fields: Sequence[str]) -> DataFrame:
-    """The state to resume from: each entity's last `keep` records, as (entity_type, entity_id, seq, record)."""
-    rows = numbered(eligible(df), entity)
-    ends = rows.groupBy(entity).agg(F.max("_seq").alias("_end")).withColumnRenamed(entity, "_e")
-    kept = rows.join(ends, F.col(entity) == F.col("_e")).where(F.col("_seq") > F.col("_end") - keep)
-    return kept.select(F.lit(entity).alias("entity_type"), F.col(entity).cast("string").alias("entity_id"), F.col("_seq").alias("seq"), record(fields).alias("record"))
+    rows = df.withColumn("_key", F.col(entity) if key is None else key).where("_key is not null").withColumn("_day", F.to_date("race_datetime"))
+    counts = rows.groupBy("_key", "_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_key").alias("_e"), F.col("_day").alias("_d"), before.alias("_before"))
+    inside = Window.partitionBy("_key", "_day")
+    rows = rows.withColumns({"_inside": F.row_number().over(inside.orderBy(*ORDER)), "_race": F.rank().over(inside.orderBy(*ORDER[:2]))})
+    joined = rows.join(starts, (F.col("_key") == F.col("_e")) & (F.col("_day") == F.col("_d")))
+    return joined.withColumns({"_seq": F.col("_before") + F.col("_inside"), "_first": F.col("_before") + F.col("_race")}).drop("_e", "_d", "_before", "_inside", "_race", "_day")
+
+
+def _spread(rows: DataFrame, keep: int, config: HistoryConfig) -> DataFrame:
+    """Numbered rows with _place (chunk, own): all rows of a race in one chunk of their key, and copies (own false) where races of a later chunk see them."""
+    size = max(config.chunk_rows, keep)
+    chunk = lambda n: F.floor(n / size)
+    own = chunk(F.col("_first") - 1)
+    chunks = F.array_distinct(F.array(own, chunk(F.col("_seq")), chunk(F.col("_seq") + (keep - 1))))
+    return rows.withColumn("_chunk", F.explode(chunks)).withColumn("_place", F.struct(F.col("_chunk").alias("chunk"), (F.col("_chunk") == own).alias("own"))).drop("_chunk")
+
+
+_IN_CHUNK = ("_key", "_place.chunk")
+
+
+def with_history(df: DataFrame, entity: str, keep: int, fields: Sequence[str], name: str, config: HistoryConfig = HistoryConfig(), key: Column | None = None) -> DataFrame:
+    """df's rows that have the entity (or what key makes of it), with `name`: the array of records that each sees, oldest first."""
+    spread = _spread(numbered(df, entity, key), keep, config)
+    last = F.collect_list(record(fields)).over(Window.partitionBy(*_IN_CHUNK).orderBy("_first", "_seq").rowsBetween(-keep, -1))
+    race = Window.partitionBy(*_IN_CHUNK, "_first").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = spread.withColumn("_last", last).withColumn("_seen", F.first("_last").over(race)).where("_place.own")  # as the race's first row has it
+    seen = F.col("_seen")
+    if config.deadline_minutes is not None:
+        deadline = seconds(F.col("race_datetime")) - 60 * config.deadline_minutes
+        seen = F.slice(seen, F.lit(1), F.size(F.filter(seen["at"], lambda at: at < deadline)))
+    return out.withColumn(name, seen).drop("_seen", "_last", *_HELPERS)
+
+
+def with_counts(df: DataFrame, entity: str, keep: int, within_days: Sequence[int], config: HistoryConfig = HistoryConfig(), key: Column | None = None) -> DataFrame:
+    """df's rows that have the entity (or what key makes of it), with `_seen_<days>`: n, won and placed of the records that each sees of so many days."""
+    deadline = config.deadline_minutes
+    if deadline is not None and deadline < 0:
+        raise ValueError("a deadline after the race")
+    rows = numbered(df, entity, key).withColumns({"_at": seconds(F.col("race_datetime")), "_on": day(F.col("race_datetime"))})
+    chunk = Window.partitionBy(*_IN_CHUNK)
+    order = chunk.orderBy("_first", "_seq")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    won, placed = (F.coalesce((F.col(c) == 1).cast("long"), F.lit(0)) for c in ("won", "placed"))
+    sums = F.struct(F.count("*").over(so_far).alias("n"), F.sum(won).over(so_far).alias("won"), F.sum(placed).over(so_far).alias("placed"))
+    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("n", "won", "placed")])
+    rows = _spread(rows, keep, config).withColumn("_sums", sums)
+    upto = lambda by, n: F.coalesce(F.max("_sums").over(chunk.orderBy(by).rangeBetween(Window.unboundedPreceding, -n)), none)
+    rows = rows.withColumns({
+        "_evicted": F.coalesce(F.lag("_sums", keep + 1).over(order), none),
+        "_upto": upto("_first", 1) if deadline is None else upto("_at", 60 * deadline + 1),
+        **{f"_before_{d}": upto("_on", d + 1) for d in within_days},
+    })
+    race = Window.partitionBy(*_IN_CHUNK, "_first").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_evicted", F.first("_evicted").over(race)).where("_place.own")
+    made = {}
+    for d in within_days:
+        low, high = F.greatest("_evicted", f"_before_{d}"), F.col("_upto")
+        made[f"_seen_{d}"] = F.when(high["n"] > low["n"], F.struct(*[(high[x] - low[x]).alias(x) for x in ("n", "won", "placed")])).otherwise(none)
+    return rows.withColumns(made).drop("_sums", "_evicted", "_upto", "_at", "_on", *[f"_before_{d}" for d in within_days], *_HELPERS)

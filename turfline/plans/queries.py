@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline import config as C
+from turfline.functions.storage import cut
 from turfline.operators import chrono, clean, derived, elo, history, selection
 from turfline.plans import features, star
+from turfline.plans import oracles as O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,12 +81,13 @@ def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- race windows -----------------------------------------------------------------------------------------------------
 
 
-@_query(
-    """, e AS (SELECT *, count(*) OVER (PARTITION BY race_id) AS n FROM runners),
-pairs AS (SELECT a.race_id, a.row_no, avg(b.official_rating) AS o_avg, median(b.official_rating) AS o_med, avg(b.weight_lbs) AS w_avg, median(b.weight_lbs) AS w_med FROM e a JOIN e b ON a.race_id = b.race_id AND a.row_no <> b.row_no GROUP BY ALL)
-SELECT e.race_id, e.row_no, round(o_avg, 6) AS field_quality_avg_or, round(o_med, 6) AS field_quality_median_or, round(weight_lbs - w_avg, 6) AS weight_vs_field_avg, round(weight_lbs - w_med, 6) AS weight_vs_field_median,
-round(coalesce(stddev_samp(official_rating) OVER (PARTITION BY e.race_id), 0), 6) AS field_quality_std_or, max(official_rating) OVER (PARTITION BY e.race_id) - min(official_rating) OVER (PARTITION BY e.race_id) AS field_quality_range FROM e JOIN pairs USING (race_id, row_no) WHERE n >= 2"""
-)
+#: CTEs that end in `field_quality`.
+_FIELD = """, field_pairs AS (SELECT a.race_id, a.row_no, avg(b.official_rating) AS o_avg, median(b.official_rating) AS o_med, avg(b.weight_lbs) AS w_avg, median(b.weight_lbs) AS w_med FROM base a JOIN base b ON a.race_id = b.race_id AND a.row_no <> b.row_no GROUP BY ALL),
+field_quality AS (SELECT base.race_id, base.row_no, round(o_avg, 6) AS field_quality_avg_or, round(o_med, 6) AS field_quality_median_or, round(weight_lbs - w_avg, 6) AS weight_vs_field_avg, round(weight_lbs - w_med, 6) AS weight_vs_field_median,
+round(coalesce(stddev_samp(official_rating) OVER (PARTITION BY base.race_id), 0), 6) AS field_quality_std_or, round(max(official_rating) OVER (PARTITION BY base.race_id) - min(official_rating) OVER (PARTITION BY base.race_id), 6) AS field_quality_range FROM base JOIN field_pairs USING (race_id, row_no))"""
+
+
+@_query(f"{O.BASE}{_FIELD} SELECT * FROM field_quality")
 def field_quality_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chrono.field_quality()
     return _rounded(history.eligible(star.runners(spark, sf_dir)).withColumns(made), list(made))
@@ -94,38 +98,24 @@ def _rounded(df: DataFrame, columns: Sequence[str], key: Sequence[str] = KEY) ->
     return df.select(*key, *[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
 
 
-def _round_sql(columns: Sequence[str], kinds: dict[str, str]) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" if kinds.get(c) == "double" else c for c in columns)
+def _derived(rows: DataFrame, *groups: str) -> DataFrame:
+    """The columns of derived groups, applied one after the other to rows."""
+    names: list[str] = []
+    for g in groups:
+        steps = derived.LEGACY_MARKET if g == "legacy_market" else g
+        names += derived.names_of(steps, rows.columns)
+        rows = derived.apply(rows, steps)
+    return _rounded(rows, names)
 
 
 RUNNER_COLUMNS = (
     "race_id", "race_date", "race_minute", "track", "horse", "jockey", "trainer", "official_rating", "weight_lbs", "age", "stall", "class", "going", "distance_m", "headgear",
-    "forecasted_odds", "type", "pos", "row_no", "runners", "won", "num_places", "course", "placed", "race_datetime", "date_of_race",
+    "forecasted_odds", "days_since_last_time_out", "type", "pos", "row_no", "runners", "won", "num_places", "course", "placed", "race_datetime", "date_of_race",
 )
-#: Derived features that aren't doubles: flags, ranks and calendar numbers.
-_WHOLE = {"day_of_week", "day_of_month", "month", "quarter", "year", "week_of_year", "day_of_year", "hour_of_day", "race_number_on_card", "total_races_on_card", "forecast_rank", "elo_rank_in_race", "bsp_rank"}
-
+_TEXTS = {"race_id", "track", "horse", "jockey", "trainer", "going", "headgear", "type", "course"}
 
-def _derived_kinds(group: str | Sequence, columns: Sequence[str]) -> dict[str, str]:
-    out = {}
-    for step in derived.applicable(derived.GROUPS[group] if isinstance(group, str) else group, columns):
-        for name, _, text in step:
-            out[name] = "int" if name in _WHOLE or (isinstance(text, str) and text.startswith("CAST(coalesce(")) else "double"
-    return out
-
-
-def _derived_query(name: str, group: str | Sequence, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, source: str = "runners", more: Sequence[str] = (), ctes: str = "") -> None:
-    columns = [*RUNNER_COLUMNS, *more]
-    wanted = derived.names_of(group, columns)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(derived.apply(prepare(star.runners(spark, sf_dir)), group), wanted)
-
-    run.__name__ = name
-    _query(f"{ctes} SELECT race_id, row_no, {_round_sql(wanted, _derived_kinds(group, columns))} FROM {derived.as_sql(group, source, columns)}")(run)
 
-
-@_query(f"SELECT race_id, row_no, round({derived.percent_rank('official_rating').replace('2.0D', '2.0::DOUBLE')}, 6) AS pct_rank FROM runners")
+@_query("SELECT a.race_id, a.row_no, round((count(*) FILTER (WHERE b.official_rating < a.official_rating) + (1 + count(*) FILTER (WHERE b.official_rating = a.official_rating)) / 2) / count(b.official_rating), 6) AS pct_rank FROM runners a JOIN runners b USING (race_id) GROUP BY a.race_id, a.row_no")
 def rank_pct_in_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.runners(spark, sf_dir).select(*KEY, F.round(F.expr(derived.percent_rank("official_rating")), 6).alias("pct_rank"))
 
@@ -137,73 +127,47 @@ def rank_desc_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    ", tops AS (SELECT race_id, list(pos ORDER BY pos DESC) FILTER (WHERE pos IS NOT NULL) AS x, count(*) AS n FROM runners GROUP BY race_id) SELECT race_id, CASE WHEN n < 2 THEN 0.0::DOUBLE ELSE x[1] - x[2] END AS gap FROM tops"
+    ", tops AS (SELECT race_id, list(pos ORDER BY pos DESC) FILTER (WHERE pos IS NOT NULL) AS x, count(*) AS n FROM runners GROUP BY race_id) SELECT race_id, CASE WHEN n < 2 THEN 0.0::DOUBLE ELSE x[1] - coalesce(x[2], x[1]) END AS gap FROM tops"
 )
 def second_best_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = star.runners(spark, sf_dir).withColumn("_place", F.expr("row_number() OVER (PARTITION BY race_id ORDER BY pos DESC NULLS LAST, row_no)"))
     return rows.select("race_id", F.expr(derived.second_gap("pos")).alias("gap")).distinct()
 
 
-_derived_query("calendar_parts", "temporal")
-_derived_query(
-    "going_index",
-    "track",
-    derived.with_global_statistics,
-    "(SELECT *, count(*) OVER (PARTITION BY track) AS track_frequency, coalesce(CAST(class AS DOUBLE), median(class) OVER ()) AS class_filled FROM runners)",
-    ("track_frequency", "class_filled"),
-)
-_derived_query("age_weight_relative", "age_weight")
-_derived_query("field_composition", "field")
-_derived_query("market_rank", "market")
-_derived_query("headgear_flags", "headgear")
-_derived_query("class_vs_field", "class")
-
-
-@_query("SELECT race_id, row_no, row_number() OVER card AS race_number_on_card, count(race_id) OVER (PARTITION BY track, race_date) AS total_races_on_card FROM runners WINDOW card AS (PARTITION BY track, race_date ORDER BY race_minute, race_id, row_no)")
-def card_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.apply(star.runners(spark, sf_dir), "temporal").select(*KEY, "race_number_on_card", "total_races_on_card")
+@_query(O.select(["temporal"], "runners"))
+def calendar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(star.runners(spark, sf_dir), "temporal")
 
 
-_BSP = "forecasted_odds * (0.5D + stall / 4.0D)"
-_legacy = [*RUNNER_COLUMNS, "betfair_sp"]
+@_query(O.select(["track"], "runners", [c for c in O.columns("track") if c not in ("track_frequency", "class_filled")]))
+def going_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(derived.with_global_statistics(star.runners(spark, sf_dir)), "track")
 
 
-def legacy_market_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = star.runners(spark, sf_dir).withColumn("betfair_sp", F.expr(_BSP))
-    return _rounded(derived.apply(rows, derived.LEGACY_MARKET), derived.names_of(derived.LEGACY_MARKET, _legacy))
+@_query(O.select(["market"], "runners"))
+def market_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(star.runners(spark, sf_dir), "market")
 
 
-_query(
-    f"SELECT race_id, row_no, {_round_sql(derived.names_of(derived.LEGACY_MARKET, _legacy), _derived_kinds(derived.LEGACY_MARKET, _legacy))} FROM "
-    + derived.as_sql(derived.LEGACY_MARKET, "(SELECT *, forecasted_odds * (0.5::DOUBLE + stall / 4.0::DOUBLE) AS betfair_sp FROM runners)", _legacy)
-)(legacy_market_drift)
+@_query("SELECT race_id, row_no, row_number() OVER card AS race_number_on_card, count(race_id) OVER (PARTITION BY track, race_date) AS total_races_on_card FROM runners WINDOW card AS (PARTITION BY track, race_date ORDER BY race_minute, race_id, row_no)")
+def card_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived.apply(star.runners(spark, sf_dir), "temporal").select(*KEY, "race_number_on_card", "total_races_on_card")
 
 
 # -- histories --------------------------------------------------------------------------------------------------------
 
 
-def _seen_sql(entity: str, keep: int) -> str:
-    """CTEs: base (eligible rows) and seen (a row for each visible record of each, back = 1 for the latest)."""
-    return f""", base AS (SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY race_minute, race_id, row_no) AS seq FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS n FROM runners) WHERE n >= 2),
-firsts AS (SELECT *, min(seq) OVER (PARTITION BY {entity}, race_id) AS first_seq FROM base),
-seen AS (
-  SELECT a.race_id, a.row_no, row_number() OVER (PARTITION BY a.race_id, a.row_no ORDER BY b.seq DESC) AS back, coalesce(b.pos, 99) AS p, b.won AS w, b.placed AS q, b.official_rating AS o, b.class AS c, b.going AS g,
-         b.distance_m AS d, b.course AS k, b.jockey AS j, b.trainer AS t, b.headgear AS h, date_diff('day', b.race_date, a.race_date) AS days, a.going AS a_going, a.distance_m AS a_distance, a.course AS a_course, a.jockey AS a_jockey, a.trainer AS a_trainer
-  FROM firsts a JOIN firsts b ON a.{entity} = b.{entity} AND b.seq BETWEEN a.first_seq - {keep} AND a.first_seq - 1 AND b.race_minute < a.race_minute - 5
-)"""
-
-
-def _horse_sql(aggregates: str, result: str) -> str:
-    """A query with the aggregates of seen by runner, then the result columns over base left joined with them."""
-    return f"{_seen_sql('horse', 30)}, agg AS (SELECT race_id, row_no, count(*) AS n_seen, {aggregates} FROM seen GROUP BY race_id, row_no) SELECT base.race_id, base.row_no, {result} FROM base LEFT JOIN agg USING (race_id, row_no)"
+HORSE_SQL: dict[str, tuple[str, str]] = {}
+_SEEN = f"{O.BASE}{O.seen('horse', 30)}"
 
 
 def _horse_query(name: str, group: str, aggregates: str, result: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rounded(chrono.horse_features(star.runners(spark, sf_dir), (group,)), list(chrono.HORSE_GROUPS[group]()))
+        return _rounded(chrono.horse_features(chrono.prepare(star.runners(spark, sf_dir)), (group,)), list(chrono.HORSE_GROUPS[group]()))
 
     run.__name__ = name
-    _query(_horse_sql(aggregates, result))(run)
+    HORSE_SQL[group] = aggregates, result
+    _query(f"{_SEEN}{O.part(name, 'horse', aggregates, result)} SELECT * FROM {name}")(run)
 
 
 def _share(c: str, k: int | None = None) -> str:
@@ -243,7 +207,7 @@ _horse_query(
 _horse_query(
     "class_movement",
     "class_movement",
-    "avg(c) FILTER (WHERE back <= 5) AS c5, max(c) FILTER (WHERE back = 1) AS c1",
+    "avg(c) FILTER (WHERE back <= 5) AS c5, arg_min(c, back) FILTER (WHERE back <= 5 AND c IS NOT NULL) AS c1",
     "round(c5, 6) AS avg_class_last_5, CAST(coalesce(class > c5, false) AS INT) AS moving_up_in_class, CAST(coalesce(class < c5, false) AS INT) AS moving_down_in_class, CAST(coalesce(class - c1, 0) AS DOUBLE) AS class_change_vs_last",
 )
 _horse_query(
@@ -278,56 +242,82 @@ _horse_query(
 )
 
 
-def _people_sql(who: str, keep: int) -> str:
+def _people_sql(who: str) -> tuple[str, str]:
     runs = "rides" if who == "jockey" else "runners"
     parts = ", ".join(f"count(*) FILTER (WHERE days <= {d} AND w = 1) AS w{d}, count(*) FILTER (WHERE days <= {d}) AS n{d}, count(*) FILTER (WHERE days <= {d} AND q = 1) AS q{d}" for d in (14, 30, 90))
-    out = ", ".join(f"coalesce(w{d}, 0) AS {who}_form_wins_{d}d, coalesce(n{d}, 0) AS {who}_{runs}_{d}d, coalesce(q{d}, 0) AS {who}_places_{d}d" for d in (14, 30, 90))
-    return f"{_seen_sql(who, keep)}, agg AS (SELECT race_id, row_no, {parts} FROM seen GROUP BY race_id, row_no) SELECT base.race_id, base.row_no, {out} FROM base LEFT JOIN agg USING (race_id, row_no)"
+    return parts, ", ".join(f"coalesce(w{d}, 0) AS {who}_form_wins_{d}d, coalesce(n{d}, 0) AS {who}_{runs}_{d}d, coalesce(q{d}, 0) AS {who}_places_{d}d" for d in (14, 30, 90))
+
 
+_KEEP = {"jockey": 100, "trainer": 150}
 
-@_query(_people_sql("jockey", 100))
+
+@_query(f"{O.BASE}{O.seen('jockey', 100)}{O.part('form', 'jockey', *_people_sql('jockey'))} SELECT * FROM form")
 def jockey_form_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chrono.people_features(star.runners(spark, sf_dir), "jockey").select(*KEY, *chrono.people("jockey"))
 
 
-@_query(_people_sql("trainer", 150))
+@_query(f"{O.BASE}{O.seen('trainer', 150)}{O.part('form', 'trainer', *_people_sql('trainer'))} SELECT * FROM form")
 def trainer_form_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chrono.people_features(star.runners(spark, sf_dir), "trainer").select(*KEY, *chrono.people("trainer"))
 
 
-_STRIKES = [[r for r in derived.PEOPLE[0] if r[0] == "jockey_strike_rate_14d" or r[0] in ("jockey_busy", "jockey_quiet")], [r for r in derived.PEOPLE[1] if r[0].startswith("jockey")]]
-_STRIKE_COLUMNS = ("jockey_form_wins_14d", "jockey_rides_14d")
-_STRIKE_NAMES = derived.names_of(_STRIKES, _STRIKE_COLUMNS)
+# -- derived from histories ----------------------------------------------------------------------------------------------
 
 
-@_query(
-    _people_sql("jockey", 100).replace("SELECT base.race_id", ", strikes AS (SELECT base.race_id", 1)
-    + f") SELECT race_id, row_no, {_round_sql(_STRIKE_NAMES, _derived_kinds(_STRIKES, _STRIKE_COLUMNS))} FROM {derived.as_sql(_STRIKES, 'strikes', _STRIKE_COLUMNS)}"
-)
-def strike_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(derived.apply(jockey_form_days(spark, sf_dir), _STRIKES), _STRIKE_NAMES)
+def _history_sql(groups: Sequence[str] = (), people: Sequence[str] = (), field: bool = False, elo: bool = False, rows: str = "base", join: str = "JOIN") -> str:
+    """CTEs that end in `f`: rows joined with the features of horse groups, people, the field and ratings."""
+    sql, parts = O.BASE, []
+    if groups:
+        sql += O.seen("horse", 30) + "".join(O.part(f"p_{g}", "horse", HORSE_SQL[g][0], O.unrounded(HORSE_SQL[g][1])) for g in groups)
+        parts += [f"p_{g}" for g in groups]
+    for who in people:
+        sql += O.seen(who, _KEEP[who]) + O.part(f"p_{who}", who, *_people_sql(who))
+        parts.append(f"p_{who}")
+    if field:
+        sql, parts = sql + O.unrounded(_FIELD), [*parts, "field_quality"]
+    if elo:
+        sql, parts = sql + O.RATINGS, [*parts, "(SELECT race_id, row_no, horse_elo_pre_race, elo_implied_prob FROM ratings) AS p_elo"]
+    return f"{sql}, f AS (SELECT * FROM {rows} {' '.join(f'{join} {x} USING (race_id, row_no)' for x in parts)})"
 
 
-_EXTRA = ("recency", "specialisation", "form", "streaks", "rating_trend", "class_movement")
+def _history_rows(spark: SparkSession, sf_dir: str, groups: Sequence[str] = (), people: Sequence[str] = ()) -> DataFrame:
+    rows = chrono.prepare(star.runners(spark, sf_dir))
+    for who in people:
+        rows = chrono.people_features(rows, who)
+    return chrono.horse_features(rows, groups) if groups else rows
 
 
-@_query()
-def history_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Specialist, form-trend, recency, momentum and class flags, over horse histories."""
-    rows = chrono.horse_features(star.runners(spark, sf_dir), _EXTRA)
-    names: list[str] = []
-    for g in ("specialist", "form_trend", "recency", "rating_momentum", "class", "headgear"):
-        names += derived.names_of(g, rows.columns)
-        rows = derived.apply(rows, g)
-    return _rounded(rows, names)
+def _history_query(name: str, derive: Sequence[str], groups: Sequence[str], people: Sequence[str] = ()) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _derived(_history_rows(spark, sf_dir, groups, people), *derive)
+
+    run.__name__ = name
+    _query(f"{_history_sql(groups, people)} {O.select(derive, 'f')}")(run)
+
 
+_history_query("age_weight_relative", ("age_weight",), ("recency",))
+_history_query("field_composition", ("field",), ("recency",))
+_history_query("headgear_flags", ("headgear",), ("recency",))
+_history_query("class_vs_field", ("class",), ("class_movement",))
+_history_query("history_flags", ("specialist", "form_trend", "recency", "rating_momentum"), ("form", "streaks", "rating_trend", "recency", "specialisation"))
+_history_query("strike_rates", ("people",), ("combinations",), ("jockey", "trainer"))
 
-_INTERACTION_COLUMNS = ("official_rating", "weight_lbs", "age")
+_ALL = tuple(chrono.HORSE_GROUPS)
 
 
-@_query("SELECT race_id, row_no, round(official_rating * official_rating, 6) AS or_squared, round(official_rating / (weight_lbs + 1), 6) AS or_per_weight, round(age * official_rating, 6) AS age_times_rating FROM runners")
+@_query(O.recursive(f"{star.SQL} {_history_sql(_ALL, ('jockey', 'trainer'), True, True)} {O.select(['people', 'interactions'], 'f', list(O.columns('interactions')))}"))
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(derived.apply(star.runners(spark, sf_dir), "interactions"), ["or_squared", "or_per_weight", "age_times_rating"])
+    rows = chrono.chronological(star.runners(spark, sf_dir)).where("horse_elo_pre_race is not null")
+    made = derived.apply(derived.apply(rows, "people"), "interactions")
+    return _rounded(made, derived.names_of("interactions", made.columns))
+
+
+@_query(O.recursive(f"{star.SQL} {_history_sql(('form',), (), True, True)}, priced AS (SELECT *, CASE WHEN CAST(race_id AS BIGINT) % 5 <> 0 THEN forecasted_odds * (0.5 + stall / 4.0::DOUBLE) END AS betfair_sp FROM f) {O.select(['legacy_market'], 'priced')}"))
+def legacy_market_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older generation's features, over made starting prices that whole races lack."""
+    price = F.when(F.col("race_id").cast("long") % 5 != 0, F.col("forecasted_odds") * (0.5 + F.col("stall") / 4.0))
+    rows = chrono.chronological(star.runners(spark, sf_dir)).where("horse_elo_pre_race is not null").withColumn("betfair_sp", price)
+    return _derived(rows, "legacy_market")
 
 
 # -- ratings ----------------------------------------------------------------------------------------------------------
@@ -349,16 +339,26 @@ def elo_actual_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.eligible(star.runners(spark, sf_dir)).select(*KEY, F.round(elo.actual_score().cast("double"), 6).alias("actual_score"))
 
 
-@_query()
+_RATED = O.recursive(f"{star.SQL} {O.BASE}{O.RATINGS}")
+
+
+@_query(f"{_RATED} SELECT race_id, row_no, round(horse_elo_pre_race, 4) AS horse_elo_pre_race, round(elo_implied_prob, 6) AS elo_implied_prob FROM ratings")
 def elo_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elo.ratings(star.runners(spark, sf_dir))
     return rows.select(*KEY, F.round("horse_elo_pre_race", 4).alias("horse_elo_pre_race"), F.round(elo.implied_probability(F.col("horse_elo_pre_race")), 6).alias("elo_implied_prob"))
 
 
-@_query()
+@_query(f"{_RATED} {O.select(['elo'], 'ratings')}")
 def elo_in_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = elo.ratings(star.runners(spark, sf_dir)).withColumn("elo_implied_prob", elo.implied_probability(F.col("horse_elo_pre_race")))
-    return _rounded(derived.apply(rows, "elo"), derived.names_of("elo", ["horse_elo_pre_race", "elo_implied_prob"]))
+    rows = elo.ratings(star.runners(spark, sf_dir))
+    return _derived(rows.withColumn("elo_implied_prob", elo.implied_probability(F.col("horse_elo_pre_race"))), "elo")
+
+
+@_query(f"{_RATED}, last AS (SELECT horse, arg_max(post, run) AS elo FROM ratings GROUP BY horse) SELECT count(*) AS n_horses, round(avg(elo), 4) AS mean_elo, round(stddev_pop(elo), 4) AS std_elo, round(min(elo), 4) AS min_elo, round(max(elo), 4) AS max_elo FROM last")
+def elo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chrono.prepare(star.runners(spark, sf_dir))
+    x = elo.summary(elo.final_ratings(elo.ratings(rows), rows))
+    return x.select("n_horses", *[F.round(c, 4).alias(c) for c in ("mean_elo", "std_elo", "min_elo", "max_elo")])
 
 
 # -- selection --------------------------------------------------------------------------------------------------------
@@ -376,9 +376,8 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(var_pop({c}), 6) AS variance, CAST(var_pop({c}) <= 0.000001 AS INT) AS is_low FROM runners" for c in _NUMBERS))
 def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = star.runners(spark, sf_dir).agg(*[F.var_pop(c).alias(c) for c in _NUMBERS])
-    lines = F.array(*[F.struct(F.lit(c).alias("column_name"), F.round(c, 6).alias("variance"), (F.col(c) <= C.SelectionConfig().variance_threshold).cast("int").alias("is_low")) for c in _NUMBERS])
-    return row.select(F.inline(lines))
+    threshold = C.SelectionConfig().variance_threshold
+    return selection.variances(star.runners(spark, sf_dir), _NUMBERS).select("column_name", F.round("variance", 6).alias("variance"), (F.col("variance") <= threshold).cast("int").alias("is_low"))
 
 
 @_query(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS correlation FROM runners" for k, b in enumerate(_NUMBERS) for a in _NUMBERS[:k]))
@@ -389,27 +388,35 @@ def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(", counts AS (SELECT track, count(*) AS n_rows FROM runners GROUP BY track) SELECT track, n_rows, round(sum(n_rows) OVER (ORDER BY n_rows DESC, track) / sum(n_rows) OVER (), 6) AS cumulative_share FROM counts")
 def cumulative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = star.runners(spark, sf_dir).groupBy("track").agg(F.count("*").alias("n_rows"))
-    return counts.selectExpr("track", "n_rows", "round(CAST(sum(n_rows) OVER (ORDER BY n_rows DESC, track) AS DOUBLE) / sum(n_rows) OVER (), 6) AS cumulative_share")
+    ranked = selection.cumulative(counts.select(F.col("track").alias("feature"), F.col("n_rows").cast("double").alias("importance")))
+    return ranked.select(F.col("feature").alias("track"), F.col("importance").cast("long").alias("n_rows"), F.round("cumulative_share", 6).alias("cumulative_share"))
 
 
 @_query()
 def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the selector keeps of runners with market, field and calendar features, and each column's fate."""
-    rows = star.runners(spark, sf_dir)
-    for g in ("temporal", "age_weight", "field", "market", "headgear"):
-        rows = derived.apply(rows, g)
-    split = selection.with_split(rows).persist()
-    chosen = selection.Selector(C.SelectionConfig(correlation_threshold=0.98)).fit(split.where("split = 'train'"), split.where("split = 'val'"), trees=5)
-    split.unpersist()
+    """What the selector keeps of the whole feature table, with its own settings, and each column's fate."""
+    split = cut(selection.with_split(features.build(star.runners(spark, sf_dir))))
+    config = replace(C.SelectionConfig(), permutation=False)  # a report that decides nothing
+    chosen = selection.Selector(config).fit(split.where("split = 'train'"), split.where("split = 'val'"))
     r = chosen.report
     fate = [(c, f) for f in ("leakage", "low_variance", "correlated", "unimportant") for c in r[f]] + [(c, "kept") for c in chosen.kept]
     return spark.createDataFrame(fate, "column_name string, fate string")
 
 
-@_query()
+_CHRONO_SQL = _history_sql(_ALL, ("jockey", "trainer"), True, True, "(SELECT * REPLACE (ifnull(headgear, 'None') AS headgear) FROM runners)", "LEFT JOIN")
+_TABLE_SQL = "(SELECT * EXCLUDE (weight_vs_field_median) FROM f)"  # the derived feature of this name takes the place of the field's
+for _g in derived.GROUPS:
+    _TABLE_SQL = O.add(_g, _TABLE_SQL)
+_CHRONO_RESULTS = [*[x for _, x in HORSE_SQL.values()], *[_people_sql(who)[1] for who in _KEEP], _FIELD.rsplit(" FROM ", 1)[0].split("SELECT ")[-1]]
+_TABLE_COLUMNS = [c for c in RUNNER_COLUMNS if c not in ("pos", "race_datetime", "date_of_race", "race_date")] + ["horse_elo_pre_race", "elo_implied_prob"]
+_TABLE_COLUMNS += [c for x in _CHRONO_RESULTS for c in O.names_of(x) if c != "weight_vs_field_median"] + [c for g in derived.GROUPS for c in O.columns(g)]
+
+
+@_query(O.recursive(f"{star.SQL} {_CHRONO_SQL} SELECT race_date, {', '.join(f'round({c}, 6) AS {c}' if c not in _TEXTS else c for c in _TABLE_COLUMNS)} FROM {_TABLE_SQL}"))
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chronological and derived features of all runners."""
-    return features.build(star.runners(spark, sf_dir)).drop("race_datetime", "date_of_race", "betting_deadline")
+    made = features.build(star.runners(spark, sf_dir)).drop("race_datetime", "date_of_race", "betting_deadline")
+    return made.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes])
 
 
 FLAGSHIP = "field_quality_loo"

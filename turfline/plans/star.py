@@ -1,7 +1,7 @@
 """Retail star tables seen as runners: an order is a race, its lines are runners. Once as DataFrames, once as SQL.
 
 race: order key; track: the customer's nation; horse, jockey, trainer: part, supplier, brand; position: by extended price,
-none where there is no discount. Races start every three minutes from noon, so some fall within the betting deadline.
+none where there is no discount. Stalls, classes, headgear, prices and days since the last run are unknown here and there. Races start every three minutes from noon, so some fall within the betting deadline.
 """
 
 from __future__ import annotations
@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turfline.operators import chrono, clean
+
 GOINGS = ("Firm", "Good", "Good to Soft", "Soft", "Heavy", "Standard")
+#: By line number and part; the last stands for nothing known.
+HEADGEAR = ("None", "Blinkers", "Tongue Tie", "Cheek Pieces", "visor", "Hood", "first time Blinker", None)
 ROW_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -36,12 +40,13 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("double").alias("official_rating"),
         (112.0 + F.col("p_size")).alias("weight_lbs"),
         (2 + F.col("p_size") % 10).cast("int").alias("age"),
-        F.col("l_linenumber").cast("int").alias("stall"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("class"),
+        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_linenumber").cast("int")).alias("stall"),
+        F.when((key + F.col("l_linenumber")) % 9 != 0, F.substring("o_orderpriority", 1, 1).cast("int") + F.col("p_size") % 3).cast("int").alias("class"),
         F.element_at(F.array(*map(F.lit, GOINGS)), (key % 6 + 1).cast("int")).alias("going"),
         (1000.0 + key % 13 * 200).cast("double").alias("distance_m"),
-        F.when(F.col("l_returnflag") == "A", "None").when(F.col("l_returnflag") == "N", "Blinkers").otherwise("Tongue Tie").alias("headgear"),
-        (1.0 + 100.0 * F.col("l_tax")).alias("forecasted_odds"),
+        F.when(F.col("l_returnflag") == "A", "None").otherwise(F.element_at(F.array(*map(F.lit, HEADGEAR)), ((F.col("l_linenumber") + F.col("l_partkey")) % 8 + 1).cast("int"))).alias("headgear"),
+        F.when((F.col("l_tax") != 0) & (key % 7 != 0), 1.0 + 100.0 * F.col("l_tax")).alias("forecasted_odds"),
+        F.when(F.col("l_partkey") % 7 != 0, ((F.col("l_partkey") * 13 + key) % 120).cast("int")).alias("days_since_last_time_out"),
         F.when(F.col("o_orderstatus") == "F", "Maiden Stakes").when(F.col("o_orderstatus") == "O", "Handicap Hurdle").otherwise("Novice").alias("type"),
     )
 
@@ -55,24 +60,25 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.row_number().over(race.orderBy(*ROW_ORDER))
     field = F.count("horse").over(race)
     out = kept.withColumns({"pos": F.when(F.col("l_discount") != 0, place.cast("double")), "row_no": number.cast("int"), "runners": field.cast("int")})
-    paid = F.when(F.col("runners") >= 8, 3).when(F.col("runners") >= 5, 2).otherwise(0)
-    won = F.coalesce(F.col("pos") == 1, F.lit(False))
-    out = out.withColumns({"won": won.cast("int"), "num_places": paid, "course": F.col("track")})
-    placed = won | F.coalesce((F.col("pos") <= F.col("num_places")) & (F.col("pos") < 99), F.lit(False))
     moment = F.col("race_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("race_minute") % 1440).cast("int"))
-    return out.withColumns({"placed": placed.cast("int"), "race_datetime": moment.cast("timestamp_ntz"), "date_of_race": F.col("race_date").cast("timestamp_ntz")}).drop(*ROW_ORDER, "l_discount", "_k")
+    out = clean.with_target(out).withColumns({"course": F.col("track"), "race_datetime": moment.cast("timestamp_ntz"), "date_of_race": F.col("race_date").cast("timestamp_ntz")})
+    return chrono.with_places(out).drop(*ROW_ORDER, "l_discount", "_k")
 
 
 _GOING_LIST = ", ".join(f"'{g}'" for g in GOINGS)
+_GEAR_LIST = ", ".join(f"'{g}'" if g else "NULL" for g in HEADGEAR)
 #: WITH clause that gives `entries` and `runners`; queries go on after it.
 SQL = f"""WITH entries AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS race_id, CAST(o_orderdate AS DATE) AS race_date,
          CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 1440 + 720 + o_orderkey % 160 * 3 AS BIGINT) AS race_minute,
          n_name AS track, CAST(l_partkey AS VARCHAR) AS horse, CAST(l_suppkey AS VARCHAR) AS jockey, p_brand AS trainer,
          l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, CAST(l_quantity AS DOUBLE) AS official_rating, CAST(112 + p_size AS DOUBLE) AS weight_lbs,
-         CAST(2 + p_size % 10 AS INT) AS age, CAST(l_linenumber AS INT) AS stall, CAST(o_orderpriority[1] AS INT) AS class,
+         CAST(2 + p_size % 10 AS INT) AS age, CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_linenumber AS INT) END AS stall,
+         CASE WHEN (o_orderkey + l_linenumber) % 9 <> 0 THEN CAST(CAST(o_orderpriority[1] AS INT) + p_size % 3 AS INT) END AS class,
          [{_GOING_LIST}][CAST(o_orderkey % 6 + 1 AS INT)] AS going, CAST(1000 + o_orderkey % 13 * 200 AS DOUBLE) AS distance_m,
-         CASE l_returnflag WHEN 'A' THEN 'None' WHEN 'N' THEN 'Blinkers' ELSE 'Tongue Tie' END AS headgear, 1.0::DOUBLE + 100.0::DOUBLE * l_tax AS forecasted_odds,
+         CASE WHEN l_returnflag = 'A' THEN 'None' ELSE [{_GEAR_LIST}][CAST((l_linenumber + l_partkey) % 8 + 1 AS INT)] END AS headgear,
+         CASE WHEN l_tax <> 0 AND o_orderkey % 7 <> 0 THEN 1.0::DOUBLE + 100.0::DOUBLE * l_tax END AS forecasted_odds,
+         CASE WHEN l_partkey % 7 <> 0 THEN CAST((l_partkey * 13 + o_orderkey) % 120 AS INT) END AS days_since_last_time_out,
          CASE o_orderstatus WHEN 'F' THEN 'Maiden Stakes' WHEN 'O' THEN 'Handicap Hurdle' ELSE 'Novice' END AS type
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
 ), first_rows AS (

@@ -60,18 +60,25 @@ def score(df: DataFrame, folder: str) -> DataFrame:
     return scored.select(*[c for c in dict.fromkeys((*C.ID_COLUMNS, *names["selected"])) if c in df.columns], "model_prob")
 
 
-def train_from_cards(spark: SparkSession, cards: Sequence[str], folder: str, trees: int = 20) -> selection.Selector:
-    """Cleans cards, builds features, selects, fits and calibrates, and saves model, state, names and report under folder."""
-    runners = clean.prepare_inputs(clean.clean(clean.standardize_names(files.read_cards(spark, cards))))
-    clean.validate(runners)
-    table = features.build(runners)
-    files.save_versioned(table, f"{folder}/features.parquet")
-    split = selection.with_split(spark.read.parquet(f"{folder}/features.parquet"))
+def train_from_cards(spark: SparkSession, cards: Sequence[str], folder: str, config: C.SelectionConfig = C.SelectionConfig(), trees: int = 20) -> selection.Selector:
+    """Cleans cards, builds features, selects, fits and calibrates, and saves model, state, names and reports under folder.
+
+    Runners and features are written once for each set of card files and settings, and taken from there when it comes again.
+    """
+    key = json.dumps([sorted(cards), features.VERSION])
+    make = lambda: clean.prepare_inputs(clean.clean(clean.standardize_names(files.read_cards(spark, cards))))
+    runners = files.reuse_or_write(spark, f"{folder}/runners.parquet", key, make)
+    files.write_report(spark, f"{folder}/validation.json", clean.validate(runners))
+    table = files.reuse_or_write(spark, f"{folder}/features.parquet", key, lambda: features.build(runners, legacy_market=True, keep_prices=True))
+    files.write_feature_names(table, f"{folder}/feature_names.txt")
+    split = selection.with_split(table)
     part = {x: split.where(F.col("split") == x) for x in ("train", "val")}
-    chosen = selection.Selector().fit(part["train"], part["val"], trees=trees)
+    chosen = selection.Selector(config).fit(part["train"], part["val"])
     save(spark, folder, *(lambda m, c, t: (m, c, chosen.kept, t))(*fit(part["train"], part["val"], chosen.kept, trees=trees)))
     files.write_report(spark, f"{folder}/report.json", chosen.report)
-    files.write_text(spark, f"{folder}/feature_names.txt", "".join(f"{c}\n" for c in sorted(chosen.kept)))
+    files.write_text(spark, f"{folder}/selected_names.txt", "".join(f"{c}\n" for c in sorted(chosen.kept)))
+    if chosen.importances is not None:
+        files.write_csv(chosen.top(30), f"{folder}/importances")
     features.save_state(runners, folder)
     return chosen
 
@@ -79,7 +86,7 @@ def train_from_cards(spark: SparkSession, cards: Sequence[str], folder: str, tre
 def score_cards(spark: SparkSession, cards: str, folder: str, out: str) -> DataFrame:
     """Scores new cards, which need no results, from the artifacts and the state under folder; writes a CSV to out."""
     new = clean.prepare_inputs(clean.clean(clean.standardize_names(files.read_cards(spark, [cards])), scoring=True))
-    made = clean.drop_leakage(derived.all_groups(features.resume(spark, folder, new)))
+    made = clean.drop_leakage(derived.all_groups(features.resume(spark, folder, new), legacy=True), parts=C.RESULT_PARTS)
     scored = score(made, folder)
     files.write_csv(scored, out)
     return scored
