@@ -48,9 +48,20 @@ def test_ids_are_those_of_the_library():
     texts = [x or "" for x in ODD] + random_texts(11, 300)
     texts += [x.text for x in pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["text"]).to_pandas().itertuples()]
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    for text, ids in zip(texts, packing._table(PATH).ids_of(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    for text in texts:
+        assert np.frombuffer(packing._ids_of(PATH, text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_very_long_texts(monkeypatch):
+    from turfline.llm import segments
+
+    words = "the caf\u00e9's  12,000 <|endoftext|> don't\n\n\tend " * 2000
+    tokenizer = Tokenizer.from_file(PATH)
+    for size in (segments.SLICE, 1000):
+        monkeypatch.setattr(segments, "SLICE", size)
+        for text in (words, "a" * 100_000 + " b", " " * 100_000, "\n " * 50_000, "!" * 60_000 + words):
+            assert np.frombuffer(packing._ids_of(PATH, text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(packing._ids_of(PATH, " " * 3_000_000 + "x" * 1_000_000)) > 0
 
 
 def test_added_tokens_in_texts(spark):
@@ -61,8 +72,8 @@ def test_added_tokens_in_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     check(rows, packing.pack(docs, PATH).collect(), 1024, 2)
     tokenizer = Tokenizer.from_file(PATH)
-    for text, ids in zip(texts, packing._ids_of(PATH, texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    for text in texts:
+        assert np.frombuffer(packing._ids_of(PATH, text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def test_empty_table(spark):

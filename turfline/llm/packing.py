@@ -11,35 +11,37 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from turfline.llm.common import texts
-from turfline.llm.segments import SegmentTable
+from turfline.llm.segments import slices
 
 CAPACITY, CLASSES, END = 1024, 128, 0
-#: How byte-level tokenizer files of this kind split texts before merging.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How byte-level tokenizer files of this kind split texts before merging; possessive, so that a long run is read once.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: A run of white space (Unicode's) that is too long for the pattern's lookahead.
+_WIDE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _TYPES = [pa.int64()] * 6 + [pa.binary()]
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 @cache
-def _table(path: str) -> SegmentTable:
+def _encoder(path: str) -> tiktoken.Encoding:
     """One for each worker process. path: a byte-level BPE tokenizer file of `tokenizers` that every machine has.
 
     Its vocabulary goes to the faster encoder of tiktoken, which gives the same ids where ids grow with the rank of
     merges, as in such files; added tokens in a text are ordinary text here (see _ids_of).
     """
-    import tiktoken
-
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the file writes these bytes as themselves, others from U+0100 on
@@ -47,38 +49,45 @@ def _table(path: str) -> SegmentTable:
     byte = {chr(k): k for k in printable} | {chr(0x100 + n): k for n, k in enumerate(others)}
     special = {x["content"] for x in model["added_tokens"]}
     ranks = {bytes(byte[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-    encode_one = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def encode(segments: list[str]) -> list[bytes]:
-        ids = list(map(encode_one, segments))
-        blob = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = list(accumulate(4 * len(x) for x in ids))
-        return [blob[a:z] for a, z in zip([0, *ends], ends, strict=False)]
-
-    return SegmentTable(encode)
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @cache
-def _added(path: str) -> dict[str, bytes]:
-    """The id, as bytes, of each added token of a tokenizer file. They are matched in texts as they stand, before anything else."""
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """What splits a text at the added tokens of a tokenizer file, and their ids. They are matched in texts as they stand, before anything else."""
     with open(path, encoding="utf-8") as file:
         added = json.load(file)["added_tokens"]
     if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError(f"{path}: an added token that takes more or less than its own text")
-    return {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+    longest_first = sorted((x["content"] for x in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None, {x["content"]: x["id"] for x in added}
+
 
+def _encoded(encoder: tiktoken.Encoding, text: str) -> Iterator[list[int]]:
+    """The ids of a text without added tokens, in parts. A wide run of white space is one match of the pattern, but for its last character, if anything follows."""
+    at = 0
+    for run in _WIDE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield from map(encoder.encode_ordinary, slices(text[at : run.start()]))
+        yield encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    yield from map(encoder.encode_ordinary, slices(text[at:] if at else text))
 
-def _ids_of(path: str, texts: list[str]) -> Iterator[bytes]:
-    """The ids of each text as bytes: those of its added tokens, and of the parts between them on their own."""
-    table, added = _table(path), _added(path)
-    if not any(token in text for token in added for text in texts):
-        yield from table.ids_of(texts)
-        return
-    token = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-    parts = [token.split(text) for text in texts]
-    found = table.ids_of([x for part in parts for x in part[::2]])
-    for part in parts:
-        yield b"".join(added[x] if k % 2 else next(found) for k, x in enumerate(part))
+
+def _ids_of(path: str, text: str) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit numbers: those of its added tokens, and of the parts between them on their own.
+
+    A long text is encoded a slice at a time.
+    """
+    encoder, (token, ids) = _encoder(path), _added(path)
+    out = []
+    for k, part in enumerate(token.split(text) if token else [text]):
+        for found in [[ids[part]]] if k % 2 else _encoded(encoder, part):
+            made = array("I", found)
+            if sys.byteorder == "big":
+                made.byteswap()
+            out.append(made.tobytes())
+    return b"".join(out)
 
 
 @cache
@@ -156,8 +165,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = _Bins(TaskContext.get().partitionId(), capacity, classes)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), _ids_of(tokenizer_path, [x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                bins.add(doc, ids + last)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                bins.add(doc, _ids_of(tokenizer_path, text or "") + last)
                 if bins.held > 1 << 21:
                     yield bins.take()
         bins.close_all()

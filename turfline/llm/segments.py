@@ -17,10 +17,10 @@ import regex
 _WIDE = re.compile(r"\s ")  # a space that doesn't follow a non-space
 _CUT = regex.compile(r"(?V1)(?<=[^\s\x1c-\x1f])(?= )")
 _HEAD = "\ud800"  # marks a segment without the leading space; no valid text holds it
-KEPT, LONGEST, SLICE = 150_000, 48, 1 << 20
+KEPT, LONGEST, SLICE = 300_000, 48, 1 << 21
 
 
-def _slices(text: str) -> Iterator[str]:
+def slices(text: str) -> Iterator[str]:
     """Parts of a long text, cut where segments are cut anyway."""
     at = 0
     while len(text) - at > SLICE:
@@ -69,7 +69,7 @@ class SegmentTable:
             if len(text) > SLICE:
                 yield from self._flush(group)
                 group, size = [], 0
-                yield b"".join(x for part in _slices(text) for x in self._flush([_keys(part)]))
+                yield b"".join(x for part in slices(text) for x in self._flush([_keys(part)]))
                 continue
             group.append(_keys(text))
             size += len(text)
