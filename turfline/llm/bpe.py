@@ -3,8 +3,10 @@
 The words of a chunk of the corpus lie end to end in one array of tokens, each word a linked list. An inverted index
 leads from a mergeable pair (named by the token it becomes) to the positions where it stands; merges are applied in
 rank order, each to all of its positions, and only the two pairs that touch a merged position are looked up anew.
-A chunk is what a task holds of its part of the corpus at a time; distinct words that were replayed stay in a bounded
-table, so a task replays a word about once. Nothing is shuffled, and the vocabulary of the corpus may be of any size.
+A chunk is what a task holds of its part of the corpus at a time (some 4 MB of texts), not the corpus itself; distinct
+words that were replayed stay in a bounded table, so a task replays a word about once. Nothing is shuffled, and the
+vocabulary of the corpus may be of any size. Where a merge makes one of an earlier rank possible, that word alone is
+finished by rescanning it, so the order within the word stays right.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from turfline.llm.common import texts
 from turfline.llm.segments import SegmentTable
 
 _STEP = 1 << 16  # ids that are decoded at a time
+_GROUP = 4 << 20  # bytes of texts whose words are replayed together
 
 
 class Merges:
@@ -146,9 +149,22 @@ def _loaded(path: str, pattern: str) -> tuple[Merges, SegmentTable, list[bytes]]
     return merges, SegmentTable(encode), tokens
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to _GROUP bytes each, so that a replay has many words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _GROUP:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     table = _loaded(path, pattern)[1]
-    for batch in batches:
+    for batch in _grouped(batches):
         ids = list(table.ids_of([x or "" for x in batch.column(1).to_pylist()]))
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -161,7 +177,15 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     sizes = np.array([len(x) for x in tokens], np.int64)
     starts = np.cumsum(sizes) - sizes
 
+    def known(ids: np.ndarray) -> bool:
+        if not len(ids):
+            return True
+        if not (ids.min() >= 0 and ids.max() < len(sizes)):  # a null among the ids is NaN, which fails both
+            return False
+        return bool(sizes[ids.astype(np.int64, copy=False)].all())
+
     def bytes_of(ids: np.ndarray) -> bytes:
+        ids = ids.astype(np.int64, copy=False)
         out = []
         for at in range(0, len(ids), _STEP):
             part = ids[at : at + _STEP]
@@ -173,7 +197,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     for batch in batches:
         ids = batch.column(1)
         bounds, values, valid = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False), ids.is_valid().to_pylist()
-        decoded = [bytes_of(values[a:z]) if there else None for a, z, there in zip(bounds, bounds[1:], valid, strict=False)]
+        decoded = [bytes_of(values[a:z]) if there and known(values[a:z]) else None for a, z, there in zip(bounds, bounds[1:], valid, strict=False)]
         yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
@@ -186,7 +210,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded (the bytes that the ids stand for; null for null ids) for each row with doc_id and ids."""
+    """doc_id, ids and decoded (the bytes that the ids stand for; null for null ids, or with one that the vocabulary lacks) for each row with doc_id and ids."""
     return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lambda batches: _decode(batches, path, pattern), "doc_id long, ids array<int>, decoded binary")
 
 
