@@ -158,6 +158,11 @@ def validate(df: DataFrame, earliest: str = "2000-01-01") -> dict[str, object]:
     return {"rows": x.rows, "winners": x.winners, "win_rate": rate, "expected_win_rate": expected, "duplicate_runners": doubled, "warnings": warnings}
 
 
+def win_rates(df: DataFrame) -> DataFrame:
+    """One row: the percent of runners that won, and what field sizes would make of it."""
+    return df.agg((100.0 * F.avg("won")).alias("win_rate_pct"), (100.0 / F.avg("runners")).alias("expected_pct"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row: rows, races, horses, tracks, first and last day, winners and win rate in percent."""
     return df.agg(
@@ -173,9 +178,9 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
-    """Rows and percent of each value."""
+    """Rows and percent of each value, in one pass; the window holds a row for each value."""
     counts = df.groupBy(column).agg(F.count("*").alias("n_rows"))
-    return counts.select(column, "n_rows", (100.0 * F.col("n_rows") / F.lit(max(1, df.count()))).alias("pct"))
+    return counts.withColumn("pct", 100.0 * F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
 
 
 def schema_report(df: DataFrame) -> DataFrame:

@@ -78,6 +78,53 @@ def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.distribution(star.runners(spark, sf_dir), "type").withColumn("pct", F.round("pct", 6))
 
 
+_KEY = "CAST(race_id AS BIGINT)"
+
+
+@_query(
+    f""", raw AS (
+  SELECT *, {_KEY} AS key, lpad(CAST(race_minute % 1440 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(race_minute % 60 AS VARCHAR), 2, '0') AS clock,
+         CASE {_KEY} % 3 WHEN 0 THEN strftime(race_date, '%d/%m/%Y') WHEN 1 THEN strftime(race_date, '%Y-%m-%d') ELSE strftime(race_date, '%d %b %Y') END AS written FROM entries
+), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY written, clock, track, horse ORDER BY l_linenumber, key, l_suppkey, CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000) AS nth FROM raw WHERE key % 17 <> 0 AND key % 19 <> 0 AND key % 23 <> 0) WHERE nth = 1)
+SELECT strftime(race_date, '%Y-%m-%d') || '_' || upper(track) || '_' || clock AS race_id, horse, race_minute, CASE type WHEN 'Handicap Hurdle' THEN 'Jumps' WHEN 'Maiden Stakes' THEN 'Flat' ELSE 'Unknown' END AS race_category,
+       CASE WHEN l_discount <> 0 THEN l_linenumber::DOUBLE END AS pos, CAST(l_discount <> 0 AND l_linenumber = 1 AS INT) AS won, CASE WHEN l_linenumber % 5 > 2 THEN l_suppkey::DOUBLE END AS forecasted_odds,
+       CASE l_partkey % 3 WHEN 0 THEN (l_partkey % 10 + 5) * 14 + l_partkey % 14 WHEN 1 THEN l_partkey END::DOUBLE AS weight_lbs, round(CASE WHEN key % 4 <> 0 THEN key % 20 * 201.168::DOUBLE ELSE 2000 END, 6) AS distance_m,
+       CASE WHEN key % 4 <> 1 THEN CAST(key % 100 AS VARCHAR) END AS rate_pct, track AS course FROM once"""
+)
+def cleaned_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw cards of text through all cleaning: names, first of duplicates, times, race ids, types, positions, targets, odds, weights, distances."""
+    rows = clean.prepare_inputs(clean.clean(clean.standardize_names(star.raw_cards(spark, sf_dir))))
+    minute = F.floor(history.seconds(F.col("race_datetime")) / 60).cast("long").alias("race_minute")
+    return rows.select("race_id", "horse", minute, "race_category", "pos", "won", "forecasted_odds", "weight_lbs", F.round("distance_m", 6).alias("distance_m"), "rate_pct", "course")
+
+
+@_query("SELECT race_id, horse, count(*) AS n_rows FROM entries GROUP BY race_id, horse HAVING count(*) > 1")
+def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.duplicate_runners(star.entries(spark, sf_dir))
+
+
+@_query("SELECT round(100.0 * sum(won) / count(*), 6) AS win_rate_pct, round(100.0 * count(*) / sum(runners), 6) AS expected_pct FROM runners")
+def win_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.win_rates(star.runners(spark, sf_dir)).select(F.round("win_rate_pct", 6).alias("win_rate_pct"), F.round("expected_pct", 6).alias("expected_pct"))
+
+
+_SPARSE = {"horse": "string", "pos": "double", "stall": "int", "class": "int", "headgear": "string", "forecasted_odds": "double"}
+
+
+@_query(", p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS n_null, round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct FROM runners" for c, t in _SPARSE.items()) + ") SELECT * FROM p WHERE null_pct > 10")
+def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.missing_over(star.runners(spark, sf_dir).select(*_SPARSE))
+
+
+@_query("SELECT race_id, row_no, horse, won, CASE WHEN runners > 1 THEN round(official_rating / (runners - 1), 6) END AS ratio FROM runners")
+def leakage_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result columns go, infinities become null."""
+    rows = star.runners(spark, sf_dir).select(*KEY, "horse", "won", "pos", "official_rating", "runners")
+    made = rows.withColumns({"Betfair_SP_Forecast": F.lit(2.0), "ip_max": F.col("pos"), "ratio": F.when(F.col("runners") > 1, F.col("official_rating") / (F.col("runners") - 1)).otherwise(F.lit(float("inf")))})
+    left = clean.drop_leakage(made.drop("official_rating", "runners"))
+    return left.withColumn("ratio", F.round("ratio", 6))
+
+
 # -- race windows -----------------------------------------------------------------------------------------------------
 
 

@@ -65,6 +65,28 @@ def runners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chrono.with_places(out).drop(*ROW_ORDER, "l_discount", "_k")
 
 
+def raw_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as raw cards of text: odd column names, dates in three forms, bad dates and times, non-finishers, odds that aren't numbers, weights in stones."""
+    key, day = F.col("race_id").cast("long"), F.col("race_date")
+    minute = F.col("race_minute") % 1440
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    text = lambda c: F.col(c).cast("string")
+    return entries(spark, sf_dir).select(
+        F.when(key % 17 == 0, "bad").when(key % 3 == 0, F.date_format(day, "dd/MM/yyyy")).when(key % 3 == 1, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd MMM yyyy")).alias("Date of Race!"),
+        F.when(key % 23 == 0, "xx").when(key % 19 != 0, F.concat(two(minute / 60), F.lit(":"), two(minute % 60))).alias(" Time"),
+        F.col("track").alias("Track"),
+        F.col("horse").alias("Horse"),
+        F.col("type").alias("Type"),
+        F.when(F.col("l_discount") == 0, "PU").otherwise(text("l_linenumber")).alias("Pos"),
+        F.when(F.col("l_linenumber") % 5 == 0, "SCRATCHED").when(F.col("l_linenumber") % 5 == 1, " - ").when(F.col("l_linenumber") % 5 == 2, "evens").otherwise(text("l_suppkey")).alias("Forecasted (Odds)"),
+        F.when(F.col("l_partkey") % 3 == 0, F.concat((F.col("l_partkey") % 10 + 5).cast("string"), F.lit("-"), (F.col("l_partkey") % 14).cast("string"))).when(F.col("l_partkey") % 3 == 1, text("l_partkey")).otherwise("x").alias("Weight"),
+        F.when(key % 4 != 0, (key % 20).cast("string")).alias("Distance f"),
+        F.when(key % 4 != 1, (key % 100).cast("string")).alias("Rate %"),
+        F.col("l_linenumber").cast("int").alias("file_idx"),
+        (key * 100_000_000 + F.col("l_suppkey") * 1000 + F.floor(F.col("l_extendedprice") * 100).cast("long") % 1000).alias("row_idx"),
+    )
+
+
 _GOING_LIST = ", ".join(f"'{g}'" for g in GOINGS)
 _GEAR_LIST = ", ".join(f"'{g}'" if g else "NULL" for g in HEADGEAR)
 #: WITH clause that gives `entries` and `runners`; queries go on after it.
