@@ -164,18 +164,18 @@ def _rare_elements(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     return placed.where("e.holders > 1").select("class", "size", F.col("e.element").alias("element"), (F.col("at") + 1).cast("long").alias("place"))
 
 
-def _typical_pairs(rare: DataFrame, percent: int) -> DataFrame:
+def _typical_pairs(rare: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Each class with one of another component: of those at the head of its elements the one with the fewest rarer elements."""
     head = rare.groupBy("element").agg(F.min(F.struct((F.col("place") / F.col("size")).alias("rareness"), F.col("class").alias("leader"), F.col("component").alias("led"))).alias("head"))
-    met = rare.join(head, "element").where("component != head.led")
+    met = rare.join(cut(head, tasks), "element").where("component != head.led")
     one = met.groupBy("class").agg(F.min("head").alias("head")).select("class", F.col("head.leader").alias("leader"))
     return one.select(F.least("leader", "class").alias("a"), F.greatest("leader", "class").alias("b")).distinct()
 
 
-def _remaining_pairs(rare: DataFrame, percent: int) -> DataFrame:
+def _remaining_pairs(rare: DataFrame, percent: int, tasks: int) -> DataFrame:
     """All pairs of different components that share a rare element at places which leave enough elements for both."""
     heads = rare.groupBy("element").agg(F.min("component").alias("from"), F.max("component").alias("to"), F.min(F.struct((F.col("place") / F.col("size")).alias("rareness"), F.col("component").alias("main"))).alias("head"))
-    open_ = rare.join(heads.where("from < to").select("element", "head.main"), "element")
+    open_ = cut(rare.join(cut(heads.where("from < to").select("element", "head.main"), tasks), "element"), tasks)  # so that AQE splits the next join, too
     names = ("class", "size", "place", "component")
     one = open_.where("component != main").select("element", *[F.col(c).alias(f"{c}_a") for c in names])  # one of two components isn't the head's
     two = open_.select("element", *[F.col(c).alias(f"{c}_b") for c in names])
@@ -203,11 +203,11 @@ def _grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands:
             sets = cut(sets.dropDuplicates(["class"]), tasks)
         parts.append(cut(components(_verified(_band_pairs(live), sets, percent), tasks), tasks))
         open_keys = _joined(parts, live.where("not two")).groupBy("key").agg(F.min("component").alias("from"), F.max("component").alias("to")).where("from < to")
-        rest = live.where("not two").join(open_keys, "key").select("class").distinct()
+        rest = live.where("not two").join(cut(open_keys, tasks), "key").select("class").distinct()
         rare = cut(_rare_elements(sets.join(rest, "class", "left_semi"), percent, tasks), tasks)
         if not rare.isEmpty():
             for pairs in (_typical_pairs, _remaining_pairs):
-                found = cut(_verified(pairs(_joined(parts, rare), percent), sets, percent), tasks)
+                found = cut(_verified(pairs(cut(_joined(parts, rare), tasks), percent, tasks), sets, percent), tasks)
                 if not found.isEmpty():
                     ends = _joined(parts, _joined(parts, found, "a", "from"), "b", "to")
                     parts.append(cut(components(ends.select(F.col("from").alias("a"), F.col("to").alias("b")), tasks), tasks))
