@@ -89,3 +89,18 @@ def test_every_text_but_the_empty_has_features():
                 assert 0 < a.size <= 32 and fp.likeness(a, a) == 1.0 and fp.likeness(a, b) < 0.5
                 assert n < 100 or fp.likeness(a, make((one * n)[1 : n + 1])) == 1.0
     assert fp.Digest(fp.features(b"", np.arange(fp.LEVELS))).size == 0
+
+
+def test_a_shared_doc_id_is_dealt_over_many_partitions(spark):
+    rows = [(7, f"text {k} of the shared id") for k in range(3000)] + [(k, f"own text {k}") for k in range(1000) if k != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [len(x) for x in fp._in_order(docs).rdd.glom().collect()]
+    assert sum(sizes) <= len(rows) + 4 * fp._BLOCKS and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    got = fp.fingerprint(docs).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted(rows)
+    after = {}
+    for x in got:
+        n = len(x.text) // 4
+        after.setdefault(x.doc_id, []).append((x.text, x.edited_text[len(x.text) - n :]))
+    assert after[5] == [("own text 5", "ow")] and after[999] == [("own text 999", "own")]
+    assert sum(tail == "own t" or tail == "own te" for _, tail in after[7]) == 1  # only the last of the shared id's rows is followed by another id

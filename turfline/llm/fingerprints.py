@@ -8,8 +8,9 @@ Two filters are as alike as their common bits exceed what chance gives, relative
 digests are the mean, over the filters of the one with fewer, of the best match in the other.
 
 Scale: one pass counts levels (LEVELS sums reach the driver). To bring each text beside its successor, texts are dealt
-once, in blocks of consecutive doc_ids, and a block's first text is copied to the block before: block bounds, a few
-for each shuffle partition, are all that the driver sees.
+once, in blocks of consecutive doc_ids, a shared id's rows in several blocks by hashes of their texts, and a block's
+first text is copied to the block before: block bounds, a few for each shuffle partition, are all that the driver sees.
+Only rows that repeat both doc_id and text stay together.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,23 +161,42 @@ def _block(key: Column, cuts: list[int]) -> Column:
     return (group - 1) * width + inside
 
 
+def _dealt(keyed: DataFrame, many: int) -> Column:
+    """The block of each row of keyed (key, tie): by cuts of about equal counts of keys; a key that holds several cuts is cut again, by its rows' ties."""
+    cuts = keyed.select(F.percentile_approx("key", [k / many for k in range(1, many)] or [0.5])).first()[0]
+    times = Counter(cuts or ())
+    hot = {k: n for k, n in times.items() if n > 1}
+    ties = {}
+    if hot:
+        wanted = F.percentile_approx("tie", [k / max(hot.values()) for k in range(1, max(hot.values()))]).alias("ties")
+        ties = {x["key"]: sorted(set(x["ties"])) for x in keyed.where(F.col("key").isin(list(hot))).groupBy("key").agg(wanted).collect()}  # at most `many` keys
+    starts, at = [0], 0
+    for k in sorted(times):
+        at += 1
+        starts.append(at)  # of the block where this key's rows begin
+        at += len(ties.get(k, ()))
+    ends = [0, *[n + len(ties.get(k, ())) for k, n in zip(sorted(times), starts[1:], strict=True)]]
+    after = _block(F.col("key"), sorted(times)) + 1
+    block = F.element_at(F.array(*map(F.lit, ends)), after)
+    if ties:
+        own = F.element_at(F.create_map(*[F.lit(x) if k % 2 == 0 else F.array(*map(F.lit, x)) for pair in ties.items() for k, x in enumerate(pair)]), F.col("key"))
+        inside = F.element_at(F.array(*map(F.lit, starts)), after) + F.size(F.filter(own, lambda t: t <= F.col("tie")))
+        block = F.when(F.col("key").isin(list(ties)), inside).otherwise(block)
+    return block
+
+
 def _in_order(rows: DataFrame) -> DataFrame:
     """block, copy, doc_id, text: each block in order in one partition, followed by a copy of the first row after it."""
     spark = rows.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    many = _BLOCKS * partitions
-    cuts = keyed.select(F.percentile_approx("key", [k / many for k in range(1, many)] or [0.5])).first()[0]
-    block = _block(F.col("key"), sorted(set(cuts or ())))
-    firsts = sorted((x.block, x.key) for x in keyed.select("key", block.alias("block")).groupBy("block").agg(F.min("key").alias("key")).collect())
-    target = {key: firsts[k - 1][0] for k, (_, key) in enumerate(firsts)}  # the first of all goes after the last
-    here = F.struct(block.alias("block"), F.lit(0).alias("copy"))
-    if target:
-        to = F.element_at(F.create_map(*[F.lit(x) for pair in target.items() for x in pair]), F.col("key"))
-        places = F.when(F.col("key").isin(list(target)), F.array(here, F.struct(to.alias("block"), F.lit(1).alias("copy")))).otherwise(F.array(here))
-    else:
-        places = F.array(here)
-    placed = keyed.select("doc_id", "text", "key", F.explode(places).alias("at")).select("at.*", "doc_id", "text", "key", F.xxhash64("text").alias("tie"))
+    keyed = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    block = _dealt(keyed, _BLOCKS * partitions).cast("int")
+    found = keyed.groupBy(block.alias("block")).agg(F.min(F.struct("key", "tie")).alias("first")).orderBy("block").collect()  # a few for each partition
+    firsts = [(*x["first"], found[k - 1]["block"]) for k, x in enumerate(found)]  # the first of all goes after the last
+    before = F.broadcast(spark.createDataFrame(firsts, "key long, tie long, before int"))
+    here, there = F.struct(block.alias("block"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("block"), F.lit(1).alias("copy"))
+    places = F.when(F.col("before").isNotNull(), F.array(here, there)).otherwise(F.array(here))
+    placed = keyed.join(before, ["key", "tie"], "left").select(F.explode(places).alias("at"), "doc_id", "text", "key", "tie").select("at.*", "doc_id", "text", "key", "tie")
     return placed.repartition(partitions, "block").sortWithinPartitions("block", "copy", "key", "tie").select("block", "copy", "doc_id", "text")
 
 
