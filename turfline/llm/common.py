@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.storage import cut, forget, shared_folder
 
-__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "shared_folder", "texts"]
+__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "sampled_texts", "shared_folder", "texts"]
 
 #: Bytes of one Arrow batch: what a Python worker holds at a time follows from it, whatever the texts' lengths.
 BATCH_BYTES = 1 << 20
@@ -33,3 +33,10 @@ def bound_batches(spark: SparkSession) -> None:
     now = spark.conf.get(name).rstrip("b")
     if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids, a bounded table of distinct doc_ids, with the text of each: of rows that share a doc_id the text of the least hash. Checkpointed, so that what is fitted on it reads docs once."""
+    rows = texts(docs).join(F.broadcast(ids.select("doc_id")), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return cut(one.join(ids, "doc_id"))

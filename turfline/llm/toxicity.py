@@ -10,8 +10,9 @@ follow an extreme-value law; lambda comes from the clean tokens' scores, K from
 A document's evidence is its best normalised score and the sum of those of all significant segments; a logistic curve
 over both, fitted on the training documents, is its score.
 
-Scale: the model is fitted on at most TRAIN labelled documents, chosen by hash, and has at most TOKENS tokens, the most
-significant ones. Scoring is one narrow pass over whole texts.
+Scale: the model is fitted on at most TRAIN labelled documents, chosen by hash and checkpointed from one scan, and has at
+most TOKENS tokens, the most significant ones. Their segments' scores, a row for each of them, reach the driver. Scoring
+is one narrow pass over whole texts, each scanned once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import hashing
-from turfline.llm.common import texts
+from turfline.llm.common import sampled_texts, texts
 
 TRAIN, TOKENS, PRIOR, CERTAIN, DRIFT, LOGISTIC_STEPS = 32_768, 1 << 16, 1.0, 3.5, 0.5, 60
 PREFIXES = (4, 5, 6, 7, 8)
@@ -108,22 +109,23 @@ class Model:
         chance = math.log(max(1, len(starts))) + self.log_k
         return len(starts), [(int(starts[a]), int(ends[z - 1]), s, self.rate * s - chance) for a, z, s in maximal_segments(self.token_scores(text, starts, ends))]
 
-    def significant(self, text: bytes) -> list[tuple[int, int, float, float]]:
-        """(start, end, score, p) of each segment that chance would give with a probability of SIGNIFICANT at most."""
-        found = [(a, z, s, -math.expm1(-math.exp(-x))) for a, z, s, x in self.segments(text)[1]]
-        return [x for x in found if x[3] <= SIGNIFICANT]
+    def judge(self, text: bytes) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """The score, and (start, end, score, p) of each segment that chance would give with a probability of SIGNIFICANT at most."""
+        found = self.segments(text)[1]
+        spans = [(a, z, s, -math.expm1(-math.exp(-x))) for a, z, s, x in found]
+        return self.score_of(*evidence([x for *_, x in found])), [x for x in spans if x[3] <= SIGNIFICANT]
 
-    def evidence(self, text: bytes) -> tuple[float, float]:
-        normal = [x for _, _, _, x in self.segments(text)[1]]
-        level = -math.log(-math.log1p(-SIGNIFICANT))
-        return max(normal, default=-5.0), math.log1p(sum(x for x in normal if x >= level))
-
-    def score(self, text: bytes) -> float:
-        best, total = self.evidence(text)
+    def score_of(self, best: float, total: float) -> float:
         a, b, c = self.weights
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * max(-5.0, min(best, 30.0)) + c * total))))
 
 
+def evidence(normal: list[float]) -> tuple[float, float]:
+    """Of a document, from its segments' normalised scores: the best one, and the log of one more than the sum of the significant ones."""
+    level = -math.log(-math.log1p(-SIGNIFICANT))
+    return max(normal, default=-5.0), math.log1p(sum(x for x in normal if x >= level))
+
+
 def _token_counts(train: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +169,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model:
-    """A model from rows of text and toxic (0 or 1). Without rows of both labels every document scores 0 to 0.5."""
+    """A model from a bounded number of rows of text and toxic (0 or 1). Without rows of both labels every document scores 0 to 0.5."""
     counts = _token_counts(train).persist()
     try:
         toxic, clean, kinds = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0)), F.count("*")).first()
@@ -191,21 +193,15 @@ def fit(train: DataFrame) -> Model:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.segments(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for _, _, s, _ in x), default=0.0) for _, x in found], pa.float64()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "best", "toxic"])
-
-    best = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, "n long, best double, toxic int").toPandas()
-    calm = best[(best["toxic"] == 0) & (best["n"] > 0)]
-    model.log_k = float((model.rate * calm["best"] - np.log(calm["n"])).mean() - _EULER) if len(calm) else 0.0
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.evidence(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([x for _, x in found]), batch.column(1)], ["best", "total", "toxic"])
-
-    rows = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(weigh, "best double, total double, toxic int").toPandas()
-    features = np.column_stack((rows["best"].clip(-5, 30), rows["total"]))
-    model.weights = tuple(float(x) for x in _logistic(features, rows["toxic"].to_numpy(float)))
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s, _ in x] for _, x in found], pa.list_(pa.float64())), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "scores", "toxic"])
+
+    rows = train.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, "n long, scores array<double>, toxic int").toArrow().to_pylist()
+    calm = [model.rate * max(x["scores"], default=0.0) - math.log(x["n"]) for x in rows if x["toxic"] == 0 and x["n"]]
+    model.log_k = sum(calm) / len(calm) - _EULER if calm else 0.0
+    normal = [[model.rate * s - math.log(max(1, x["n"])) - model.log_k for s in x["scores"]] for x in rows]
+    features = np.array([evidence(x) for x in normal]).reshape(-1, 2).clip([-5, 0], [30, np.inf])
+    model.weights = tuple(float(x) for x in _logistic(features, np.array([x["toxic"] for x in rows], float)))
     return model
 
 
@@ -215,10 +211,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFrame:
-    """text and toxic of at most `train` labelled documents, the first by hash, outside the held-out fold."""
+    """text and toxic of at most `train` labelled documents, the first by hash, outside the held-out fold; a row for each doc_id."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
-    return texts(docs).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    return sampled_texts(docs, ids).select("text", "toxic")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,10 +226,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())]))
         for batch in batches:
-            found = batch.column(1).cast(pa.binary()).to_pylist()
-            scores = [model.score(x or b"") for x in found]
-            spans = [[dict(zip(("start", "end", "score", "p"), s, strict=True)) for s in model.significant(x or b"")] for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "segments"])
+            found = [model.judge(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            spans = [[dict(zip(("start", "end", "score", "p"), s, strict=True)) for s in x] for _, x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "segments"])
 
     rows = texts(docs).mapInArrow(apply, "doc_id long, score double, segments array<struct<start:long,end:long,score:double,p:double>>")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
@@ -252,7 +247,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFr
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
         for batch in batches:
-            yield batch.filter(pa.array([model.score(x or b"") < 0.5 for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.judge(x or b"")[0] < 0.5 for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
 
     texts(docs)  # for its bound on batches
     return docs.mapInArrow(keep, docs.schema)
