@@ -2,7 +2,8 @@
 
 A rule applies where its inputs are columns; its expression is SQL that both Spark and ANSI engines read, or a pair where
 calendars differ. Groups run in order, since later rules read earlier outputs; each step of a group is one select, and
-steps share the race's exchange. All flags are 0 for unknown.
+steps share the race's exchange. All flags are 0 for unknown. Deviations and slopes are compared to nine places, so that the
+order of a sum never decides a flag.
 """
 
 from __future__ import annotations
@@ -185,8 +186,8 @@ FORM_TREND: list[list[Rule]] = [
             ("long_dry_spell", "races_since_win", "races_since_win > 10"),
             ("very_long_dry_spell", "races_since_win", "races_since_win > 20"),
             ("recent_winner", "races_since_win", "races_since_win <= 3"),
-            ("is_consistent", "pos_consistency", "pos_consistency < 2"),
-            ("is_inconsistent", "pos_consistency", "pos_consistency > 4"),
+            ("is_consistent", "pos_consistency", "round(pos_consistency, 9) < 2"),
+            ("is_inconsistent", "pos_consistency", "round(pos_consistency, 9) > 4"),
             ("improving_form_binary", "improving_form", "improving_form = 1"),
         ),
     ]
@@ -262,8 +263,8 @@ RATING_MOMENTUM: list[list[Rule]] = [
     _flags(
         ("or_improving", "or_change_vs_last_race", "or_change_vs_last_race > 0"), ("or_declining", "or_change_vs_last_race", "or_change_vs_last_race < 0"),
         ("or_stable", "or_change_vs_last_race", "or_change_vs_last_race = 0"), ("or_big_jump", "or_change_vs_last_race", "or_change_vs_last_race > 5"),
-        ("or_big_drop", "or_change_vs_last_race", "or_change_vs_last_race < -5"), ("or_uptrend", "or_trend_last_5", "or_trend_last_5 > 0.5D"),
-        ("or_downtrend", "or_trend_last_5", "or_trend_last_5 < -0.5D"), ("or_momentum_positive", "or_momentum_short_term", "or_momentum_short_term > 0"),
+        ("or_big_drop", "or_change_vs_last_race", "or_change_vs_last_race < -5"), ("or_uptrend", "or_trend_last_5", "round(or_trend_last_5, 9) > 0.5D"),
+        ("or_downtrend", "or_trend_last_5", "round(or_trend_last_5, 9) < -0.5D"), ("or_momentum_positive", "or_momentum_short_term", "or_momentum_short_term > 0"),
         ("or_momentum_negative", "or_momentum_short_term", "or_momentum_short_term < 0"),
     )
 ]

@@ -166,7 +166,7 @@ GROUPS: dict[str, list[Step]] = {
     "rating_momentum": [
         _yes(
             or_improving="or_change_vs_last_race > 0", or_declining="or_change_vs_last_race < 0", or_stable="or_change_vs_last_race = 0", or_big_jump="or_change_vs_last_race > 5", or_big_drop="-or_change_vs_last_race > 5",
-            or_uptrend="round(or_trend_last_5, 12) > 0.5", or_downtrend="round(or_trend_last_5, 12) < -0.5", or_momentum_positive="or_momentum_short_term > 0", or_momentum_negative="or_momentum_short_term < 0",
+            or_uptrend="round(or_trend_last_5, 9) > 0.5", or_downtrend="round(or_trend_last_5, 9) < -0.5", or_momentum_positive="or_momentum_short_term > 0", or_momentum_negative="or_momentum_short_term < 0",
         )
     ],
     "headgear": [
