@@ -174,8 +174,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns. Reads texts a second time instead of shuffling them."""
+    """The rows of docs that classify() keeps, with all their columns, whatever their names. Reads texts a second time instead of shuffling them."""
     evidence, sites, _ = _learned(docs, labels, host, path)
-    rows = _with_counts(docs.withColumns({"__host": _site(docs, host), "__path": _site(docs, path)}))
+    own = docs.columns
+    named = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(own)])  # no name of docs can meet a helper's
+    site = lambda name: F.coalesce(F.col(f"c{own.index(name)}").cast("string"), F.lit("")) if name in own else F.lit("")
+    rows = _with_counts(named.withColumns({"__host": site(host), "__path": site(path)}))
     judged = rows.withColumn("__evidence", evidence.of(F.col("__x"))).drop("__x")
-    return _posterior(judged, sites).where(F.col("__score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _posterior(judged, sites).where(F.col("__score") >= threshold).select(*named.columns).toDF(*own)
