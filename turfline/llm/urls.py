@@ -71,7 +71,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame =
     no rule fits. Rows that repeat get a row each; other columns are ignored; an empty table gives an empty table.
     """
     if not isinstance(rules, DataFrame):
-        rules = pages.sparkSession.createDataFrame([(h, p, v) for v, h, p in rules], "host string, path string, verdict string")
+        made = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for v, h, p in rules]
+        nothing = F.expr("cast(array() as array<struct<host:string,path:string,verdict:string>>)")
+        rules = pages.sparkSession.range(1).select(F.inline(F.array(*made) if made else nothing))  # made in the JVM
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = urls.where("host != ''").select("host").distinct()
     ruled = urls.join(open_rules(hosts, rules), "host", "left")
