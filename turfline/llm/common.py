@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.storage import cut, forget, shared_folder
 
-__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "sampled_texts", "shared_folder", "texts"]
+__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "likely", "sampled_texts", "shared_folder", "texts"]
 
 #: Bytes of one Arrow batch: what a Python worker holds at a time follows from it, whatever the texts' lengths.
 BATCH_BYTES = 1 << 20
@@ -35,8 +35,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_BITS = 1 << 24  # of the bitmap of wanted doc_ids
+
+
+def likely(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose doc_id may be in a column of ids: all that are, and few others while ids are far fewer than _BITS. A bitmap of that size is broadcast, so an exact join after it shuffles little."""
+    slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(_BITS))
+    bitmap = ids.groupBy(F.bitmap_bucket_number(slot(column)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(column))).alias("__bits"))
+    place = F.bitmap_bit_position(slot("doc_id"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("__bucket"))
+    return near.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("__bucket", "__bits")
+
+
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids, a bounded table of distinct doc_ids, with the text of each: of rows that share a doc_id the text of the least hash. Checkpointed, so that what is fitted on it reads docs once."""
+    """ids, a bounded table of distinct doc_ids, with the text of each: of rows that share a doc_id the text of the least hash."""
     rows = texts(docs).join(F.broadcast(ids.select("doc_id")), "doc_id")
     one = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return cut(one.join(ids, "doc_id"))
+    return one.join(F.broadcast(ids), "doc_id")

@@ -25,11 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import hashing
-from turfline.llm.common import cut, texts
+from turfline.llm.common import cut, likely, texts
 from turfline.llm.components import components
 
 WIDTH, PERCENT, BANDS, ROWS, LEADERS = 5, 75, 32, 4, 2
-_BITS = 1 << 24  # of the bitmap of wanted doc_ids
 _ROWS = 8_000  # documents for each file of a checkpoint
 _STEP = 1024  # shingles whose coordinates are made at a time, to stay in the processor's cache
 
@@ -104,12 +103,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             columns = [batch.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["class", "size", "found"])
 
-    slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(_BITS))
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(slot("rep")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("rep"))).alias("bits"))
-    place = F.bitmap_bit_position(slot("doc_id"))
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = texts(docs).join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("bucket"))  # at most _BITS bits
-    near = near.where(F.getbit(byte, (place % 8).cast("int")) == 1).select("doc_id", _digest("text").alias("digest"), "text")
+    near = likely(texts(docs), wanted, "rep").select("doc_id", _digest("text").alias("digest"), "text")
     rows = near.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.coalesce("digest", F.lit(b"")) == F.col("rep_digest")))
     return rows.select("class", "text").mapInArrow(read, "class long, size long, found array<long>")
 

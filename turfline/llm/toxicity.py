@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import hashing
-from turfline.llm.common import sampled_texts, texts
+from turfline.llm.common import cut, sampled_texts, texts
 
 TRAIN, TOKENS, PRIOR, CERTAIN, DRIFT, LOGISTIC_STEPS = 32_768, 1 << 16, 1.0, 3.5, 0.5, 60
 PREFIXES = (4, 5, 6, 7, 8)
@@ -214,7 +214,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Dat
     """text and toxic of at most `train` labelled documents, the first by hash, outside the held-out fold; a row for each doc_id."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train)
-    return sampled_texts(docs, ids).select("text", "toxic")
+    return cut(sampled_texts(docs, ids).select("text", "toxic"))  # fitting reads it twice
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
