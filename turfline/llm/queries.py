@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import bpe, fingerprints, minhash, packing, quality, rules, sharding, simhash, toxicity, urls, warc
+from turfline.llm import alignment, bpe, fingerprints, minhash, packing, quality, rules, sharding, simhash, toxicity, urls, warc
 from turfline.llm.common import documents, labels
 
 
@@ -69,6 +69,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -76,7 +80,7 @@ def op13_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_minhash_near_dedup, op2_harmonic_packing, op3_warc_revisits, op4_rendezvous_sharding, op5_site_quality,
     op6_bpe_merge_replay, op7_toxic_segments, op8_improbable_features, op9_ngram_quality_rules, op10_url_rules,
-    op13_simhash_ball,
+    op11_token_alignment, op13_simhash_ball,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
