@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.llm import alignment, bpe, fingerprints, minhash, packing, quality, rules, sharding, simhash, toxicity, urls, warc
+from turfline.llm import alignment, bpe, fingerprints, minhash, packing, quality, rules, sharding, simhash, toxicity, urls, warc, whitening
 from turfline.llm.common import documents, labels
 
 
@@ -73,6 +73,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ def op13_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_minhash_near_dedup, op2_harmonic_packing, op3_warc_revisits, op4_rendezvous_sharding, op5_site_quality,
     op6_bpe_merge_replay, op7_toxic_segments, op8_improbable_features, op9_ngram_quality_rules, op10_url_rules,
-    op11_token_alignment, op13_simhash_ball,
+    op11_token_alignment, op12_embedding_whitening, op13_simhash_ball,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
