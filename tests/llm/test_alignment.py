@@ -101,6 +101,7 @@ def result(docs, **options):
 def test_pieces_give_what_whole_texts_give(libraries, monkeypatch):
     monkeypatch.setattr(alignment, "KNOWN", 20)
     monkeypatch.setattr(alignment, "SLICE", 64)
+    monkeypatch.setattr(alignment, "MANY", 3)
     aligner, r = alignment.Aligner(A, B), random.Random(3)
     marks = [" ", "  ", "\n", "\t ", "word", "Wörter", "don't", "42", "...", "=", "中", "😀", " a", "\x1f", "\xa0", "s"]
     for text in [*ODD, *("".join(r.choices(marks, k=r.randint(1, 80))) for _ in range(300))]:

@@ -6,8 +6,8 @@ two cuts are linked. How many documents hold a pair of ids linked is summed with
 follows from these counts goes back to every doc_id by the SHA-256 of its text.
 
 In both tokenizers no token goes on from a character that isn't white space into a space, so a text is cut there, and
-what a piece between two such places gives doesn't depend on the rest. Each task keeps what it found for up to KNOWN short
-pieces; a full table is emptied.
+what a piece between two such places gives doesn't depend on the rest. A worker keeps what it found for short pieces, in
+two generations of KNOWN of them at most.
 
 Scale: a text's distinct pairs are stored as sorted numbers, compressed. Texts form blocks of BLOCK characters, and a
 block asks once for each of its pairs, however many of its texts have it: a pair that all texts have costs a row for each
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from turfline.llm import packing
 from turfline.llm.common import cut, texts
 
-KNOWN, SHORT, SLICE, BLOCK = 150_000, 48, 1 << 18, 1 << 24
+KNOWN, SHORT, MANY, SLICE, BLOCK = 250_000, 48, 4096, 1 << 18, 1 << 24
 _CUT = re.compile(r"(?<=\S)(?= )")
 _WIDE = re.compile(r"\s ")  # else every space follows a character that isn't white space
 _SPACE = "▁"  # how pieces of B write a space
@@ -43,58 +44,77 @@ _TYPES = [pa.binary(), *[pa.int64()] * 6, pa.string(), pa.binary(), pa.binary()]
 _RATED = "key binary, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
-#: What is known of a piece or text: tokens of A, of B, groups, links, the groups as text, distinct pairs, links of each.
-Found = tuple[int, int, int, int, str, bytes, bytes]
+#: What is known of a piece: tokens of A, of B, groups, links, the groups as text, the pair of each link; where a group has very many links, their number by pair.
+Found = tuple[int, int, int, int, str, bytes] | tuple[int, int, int, int, str, bytes, Counter]
 
 
 class Aligner:
-    """One for each worker process; the paths name files that every machine has."""
+    """One for each worker process; the paths name files that every machine has. Pieces are given without the space that each begins with."""
 
     def __init__(self, byte_path: str, piece_path: str):
         self.encoder = packing._encoder(byte_path)
-        self.a_bytes = {k: self.encoder.decode_single_token_bytes(k) for k in self.encoder._mergeable_ranks.values()}
+        self.a_size = [0] * self.encoder.n_vocab
+        for raw, k in self.encoder._mergeable_ranks.items():
+            self.a_size[k] = len(raw)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.width = self.pieces.vocab_size()
         piece = self.pieces.id_to_piece
         self.b_bytes = [bytes([int(piece(k)[3:-1], 16)]) if self.pieces.is_byte(k) else piece(k).replace(_SPACE, " ").encode() for k in range(self.width)]
-        self.known: dict[str, Found] = {}
-
-    def piece(self, text: str) -> Found | tuple[()]:
-        """What is found in a piece, given without the space that it begins with; () if the tokens' bytes aren't the piece's."""
-        a = [k for part in packing._encoded(self.encoder, f" {text}") for k in part]
-        b = self.pieces.encode(text) if text else [self.pieces.piece_to_id(_SPACE)]  # B adds the space itself, but to nothing
-        a_bytes, b_bytes, whole = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b], f" {text}".encode()
-        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+        self.b_size = list(map(len, self.b_bytes))
+        self.known: dict[str, Found | tuple[()]] = {}
+        self.older: dict[str, Found | tuple[()]] = {}
+
+    def encoded(self, pieces: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """Each piece with its ids of A and of B. B adds the space itself, but to nothing."""
+        for text, b in zip(pieces, self.pieces.encode(pieces, num_threads=1), strict=True):
+            a = self.encoder.encode_ordinary(f" {text}") if len(text) <= SHORT else [k for part in packing._encoded(self.encoder, f" {text}") for k in part]
+            yield text, a, b if text else [self.pieces.piece_to_id(_SPACE)]
+
+    def piece(self, text: str, a: list[int], b: list[int]) -> Found | tuple[()]:
+        """What is found in a piece with these ids; () if the tokens' bytes aren't the piece's."""
+        if b"".join([self.b_bytes[k] for k in b]) != f" {text}".encode():
             return ()
-        i = j = first_a = first_b = end_a = end_b = 0
-        groups, linked = [], Counter()
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                end_a += len(a_bytes[i])
-                i += 1
+        a_size, b_size, width = self.a_size, self.b_size, self.width
+        i = j = end_a = end_b = 0
+        groups, pairs, many = [], array("q"), None
+        while i < len(a):
+            first_a, first_b = i, j
+            end_a, end_b = end_a + a_size[a[i]], end_b + b_size[b[j]]
+            i, j = i + 1, j + 1
+            while end_a != end_b:
+                if end_a < end_b:
+                    end_a += a_size[a[i]]
+                    i += 1
+                else:
+                    end_b += b_size[b[j]]
+                    j += 1
+            if i - first_a == 1 == j - first_b:
+                groups.append(f"{a[first_a]}|{b[first_b]}")
+                pairs.append(a[first_a] * width + b[first_b])
+                continue
+            own, other = a[first_a:i], b[first_b:j]
+            groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
+            if len(own) * len(other) <= MANY:
+                pairs.extend([x * width + y for x in own for y in other])
             else:
-                end_b += len(b_bytes[j])
-                j += 1
-            if end_a == end_b:
-                own, other = a[first_a:i], b[first_b:j]
-                groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-                others = Counter(other)
+                many, others = many or Counter(), Counter(other)
                 for x, n in Counter(own).items():
                     for y, m in others.items():
-                        linked[x * self.width + y] += n * m
-                first_a, first_b = i, j
-        pairs, links = np.array(list(linked), np.int64), np.array(list(linked.values()), np.int64)
-        return len(a), len(b), len(groups), int(links.sum()), ";".join(groups), pairs.tobytes(), links.tobytes()
-
-    def _of(self, text: str) -> Found | tuple[()]:
-        found = self.known.get(text)
-        if found is None:
-            found = self.piece(text)
-            if len(text) <= SHORT:
-                if len(self.known) >= KNOWN:
-                    self.known.clear()
-                self.known[text] = found
-        return found
+                        many[x * width + y] += n * m
+        found = len(a), len(b), len(groups), len(pairs) + (many.total() if many else 0), ";".join(groups), pairs.tobytes()
+        return (*found, many) if many else found
+
+    def _filled(self, pieces: list[str], found: list[Found | tuple[()] | None]) -> list[Found | tuple[()]]:
+        """found without gaps. Short pieces are kept for other texts, in two generations: what is met again goes to the younger one."""
+        own = {}
+        for p in {p for p, x in zip(pieces, found, strict=True) if x is None}:
+            own[p] = self.older.get(p)
+        for p, a, b in self.encoded([p for p, x in own.items() if x is None]):
+            own[p] = self.piece(p, a, b)
+        self.known.update((p, x) for p, x in own.items() if len(p) <= SHORT)
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        return [own[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
 
     def text(self, text: str) -> tuple | None:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs in order, links of each) of space+text; None without tokens."""
@@ -107,13 +127,18 @@ class Aligner:
             pieces = [x[1:] for x in _CUT.split(part)] if _WIDE.search(part) else part[1:].split(" ")
             found = list(map(self.known.get, pieces))
             if None in found:
-                found = [self._of(p) if x is None else x for p, x in zip(pieces, found, strict=True)]
+                found = self._filled(pieces, found)
             if () in found:
                 return None
-            sums = [s + sum(x[k] for x in found) for k, s in enumerate(sums)]
-            digest.update(((";" if at else "") + ";".join([x[4] for x in found])).encode())
-            more = [np.frombuffer(b"".join([x[k] for x in found]), np.int64) for k in (5, 6)]
-            pairs, links = summed(np.concatenate((pairs, more[0])), np.concatenate((links, more[1])))
+            n_a, n_b, n_groups, n_links, lines, each = zip(*[x[:6] for x in found], strict=True)
+            sums = [s + sum(x) for s, x in zip(sums, (n_a, n_b, n_groups, n_links), strict=True)]
+            digest.update(((";" if at else "") + ";".join(lines)).encode())
+            more = np.frombuffer(b"".join(each), np.int64)
+            pairs, links = np.concatenate((pairs, more)), np.concatenate((links, np.ones(len(more), np.int64)))
+            for x in found:
+                if len(x) > 6:
+                    pairs, links = np.append(pairs, list(x[6])), np.append(links, list(x[6].values()))
+            pairs, links = summed(pairs, links)
             at = end
         return *sums, digest.hexdigest(), pairs, links
 
