@@ -94,7 +94,9 @@ def test_every_text_but_the_empty_has_features():
 def test_a_shared_doc_id_is_dealt_over_many_partitions(spark):
     rows = [(7, f"text {k} of the shared id") for k in range(3000)] + [(k, f"own text {k}") for k in range(1000) if k != 7]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    sizes = [len(x) for x in fp._in_order(docs).rdd.glom().collect()]
+    keyed, names, repeats = fp._told_apart(docs.select("doc_id", "text"))
+    assert repeats is None
+    sizes = [len(x) for x in fp._in_order(keyed, names).rdd.glom().collect()]
     assert sum(sizes) <= len(rows) + 4 * fp._BLOCKS and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
     got = fp.fingerprint(docs).collect()
     assert sorted((x.doc_id, x.text) for x in got) == sorted(rows)
@@ -104,3 +106,24 @@ def test_a_shared_doc_id_is_dealt_over_many_partitions(spark):
         after.setdefault(x.doc_id, []).append((x.text, x.edited_text[len(x.text) - n :]))
     assert after[5] == [("own text 5", "ow")] and after[999] == [("own text 999", "own")]
     assert sum(tail == "own t" or tail == "own te" for _, tail in after[7]) == 1  # only the last of the shared id's rows is followed by another id
+
+
+def test_rows_that_repeat_both_are_one_row_where_texts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(fp, "_REPEATS", 700)
+    rows = [(5, "the same text of the same id")] * 3000 + [(k, f"own text {k}") for k in range(1000)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed, names, repeats = fp._told_apart(docs)
+    assert sorted((x.doc_id, x.n) for x in repeats.collect() if x.doc_id) == [(5, 3000)] and repeats.count() == 2
+    sizes = [len(x) for x in fp._in_order(keyed, names).rdd.glom().collect()]
+    assert sum(sizes) <= 1002 + 4 * fp._BLOCKS and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    got = fp.fingerprint(docs).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=str) == sorted(((d, t or "") for d, t in rows), key=str)
+    same = [x for x in got if x.text.startswith("the same")]
+    tails = sorted(x.edited_text[-7:] for x in same)
+    other = [t for t in tails if t != "the sam"]
+    assert len(other) == 1 and other[0] == "own tex"  # one of them is followed by another text
+    assert all(x.near_next == 1.0 for x in same if x.edited_text.endswith("the sam"))
+    nulls = [x for x in got if x.doc_id is None]
+    assert len(nulls) == 3 and all(x.text == x.edited_text == "" for x in nulls) and sorted(x.near_next for x in nulls) == [0.0, 1.0, 1.0]
+    one = fp.fingerprint(spark.createDataFrame([(1, "alone")] * 4, "doc_id long, text string")).collect()
+    assert len(one) == 4 and {x.edited_text for x in one} == {"alona"}

@@ -143,3 +143,29 @@ def test_signature_estimates_similarity():
     a, b = np.unique(pool[:2000]), np.unique(pool[1000:])
     same = (minhash.signature(a, 2000) == minhash.signature(b, 2000)).mean()
     assert abs(same - 1 / 3) < 0.04
+
+
+def test_columns_of_any_name_come_through(spark):
+    text = "one two three four five six seven eight nine ten"
+    names = ["doc_id", "__doc_id", "text", "__digest", "__many", "many", "component", "digest", "c1", "least"]
+    rows = [(k, 10 + k, x, b"d", True, 1, 2, "x", 3.5, k) for k, x in enumerate([text, text, text.upper(), "quite another text of this table", "", None])]
+    for given in (rows, rows + [rows[0]] * 3):  # the kept row repeats, too
+        docs = spark.createDataFrame(given, names)
+        got = minhash.keep_one_of_each(docs)
+        assert got.columns == names
+        assert sorted(x["__doc_id"] for x in got.collect()) == [10, 13, 14, 15]
+
+
+def test_more_ids_than_the_smallest_bitmap(spark, monkeypatch):
+    from turfline.llm import common
+
+    monkeypatch.setattr(common, "_LEAST", 1 << 6)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs).collect() if x.doc_id is not None) == brute(rows)
+    ids = docs.select("doc_id").where("doc_id % 3 = 0")
+    near = {x.doc_id for x in common.likely(docs, ids).collect()}
+    wanted = {x.doc_id for x in ids.collect()}
+    assert wanted <= near and len(near - wanted) <= len(rows) // 4
+    monkeypatch.setattr(common, "_MOST", 1 << 7)
+    assert common.likely(docs, ids).count() == len(rows)

@@ -65,3 +65,22 @@ def test_odd_rows_and_segments(spark):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(x[0]) for x in rows if x[0] is not None and (x[0] >= 200 or x[0] % 4))
+
+
+def test_labels_without_signal_drop_nothing(spark):
+    words = [f"word{k}" for k in range(30)]
+    for toxic in (20, 30, 39):
+        rows = [(k, " ".join(words[(k * j) % 30] for j in range(1, 12)) if k else "") for k in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(k, int((k * 7) % 40 < toxic)) for k in range(40)], "doc_id long, toxic int")
+        assert toxicity.drop_toxic(docs, labels).count() == 40
+        model = toxicity.fit(toxicity.training_rows(docs, labels))
+        assert model.judge(b"")[0] < 0.5 and model.judge(b"nothing known here")[0] < 0.5
+
+
+def test_a_toxic_majority_leaves_clean_texts(spark):
+    clean = [(k, f"a quiet text number {k} about gardens and rain") for k in range(90)]
+    bad = [(100 + k, f"a text number {k} you vile wretched swine vile wretch swine about rain") for k in range(180)]
+    docs = spark.createDataFrame(clean + bad + [(500, ""), (501, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in clean + bad], "doc_id long, toxic int")
+    assert {x.doc_id for x in toxicity.drop_toxic(docs, labels).collect()} == {d for d, _ in clean} | {500, 501}

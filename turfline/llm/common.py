@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.storage import cut, forget, shared_folder
 
-__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "likely", "sampled_texts", "shared_folder", "texts"]
+__all__ = ["bound_batches", "cut", "documents", "forget", "labels", "likely", "marked", "sampled_texts", "shared_folder", "texts"]
 
 #: Bytes of one Arrow batch: what a Python worker holds at a time follows from it, whatever the texts' lengths.
 BATCH_BYTES = 1 << 20
@@ -35,17 +35,30 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-_BITS = 1 << 24  # of the bitmap of wanted doc_ids
+_LEAST, _MOST = 1 << 24, 1 << 30  # slots of a bitmap: 2 to 128 MB
+_EACH = 16  # slots for each id
 
 
-def likely(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """The rows whose doc_id may be in a column of ids: all that are, and few others while ids are far fewer than _BITS. A bitmap of that size is broadcast, so an exact join after it shuffles little."""
-    slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(_BITS))
+def marked(rows: DataFrame, ids: DataFrame, column: str = "doc_id", own: str = "doc_id", mark: str = "__near") -> DataFrame:
+    """rows with a boolean column: true for every row whose own number is in a column of ids, and for one in _EACH of the others at most.
+
+    A bitmap of the ids is broadcast, as large as their count asks for; beyond _MOST slots there is none and every row is marked.
+    ids is read twice. So what follows has to be exact, and shuffles little where ids are few.
+    """
+    slots = max(_LEAST, 1 << (_EACH * ids.count()).bit_length())
+    if slots > _MOST:
+        return rows.withColumn(mark, F.lit(True))
+    slot = lambda c: F.pmod(F.coalesce(F.col(c), F.lit(-1)), F.lit(slots))
     bitmap = ids.groupBy(F.bitmap_bucket_number(slot(column)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(column))).alias("__bits"))
-    place = F.bitmap_bit_position(slot("doc_id"))
+    place = F.bitmap_bit_position(slot(own))
     byte = F.conv(F.hex(F.substring("__bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot("doc_id")) == F.col("__bucket"))
-    return near.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("__bucket", "__bits")
+    met = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(slot(own)) == F.col("__bucket"), "left")
+    return met.withColumn(mark, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+def likely(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The rows whose doc_id may be in a column of ids: all that are, and few others; see marked()."""
+    return marked(rows, ids, column).where("__near").drop("__near")
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ digests are the mean, over the filters of the one with fewer, of the best match
 Scale: one pass counts levels (LEVELS sums reach the driver). To bring each text beside its successor, texts are dealt
 once, in blocks of consecutive doc_ids, a shared id's rows in several blocks by hashes of their texts, and a block's
 first text is copied to the block before: block bounds, a few for each shuffle partition, are all that the driver sees.
-Only rows that repeat both doc_id and text stay together.
+Rows that repeat both doc_id and text are one row there; all but the last of them are followed by an equal text, so they are
+made apart from the rest, _REPEATS at a time.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turfline.llm.common import texts
+from turfline.llm.common import cut, marked, texts
 from turfline.llm.hashing import mix
 
 WINDOW, LEVELS, RUN, PICKED = 32, 256, 16, 4
@@ -37,6 +38,9 @@ _G = np.diff(_F, prepend=0)
 _TOP = int(_F[WINDOW])
 _STEP = 1 << 16
 _BLOCKS = 4  # for each shuffle partition
+_REPEATS = 1_000  # equal rows that a task makes at a time
+_SCHEMA = "doc_id long, text string, fingerprint string, edited_text string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [*(x.split()[0] for x in _SCHEMA.split(", ")), "times"]
 
 
 def levels(text: bytes) -> np.ndarray:
@@ -150,56 +154,57 @@ def rarity_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _block(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at most the key, by two short searches."""
-    width = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[k : k + width] for k in range(0, len(cuts), width)] or [[]]
-    literal = lambda x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<bigint>")
-    before = F.size(F.filter(literal([g[0] for g in groups if g]), lambda c: c <= key))
-    group = F.greatest(before, F.lit(1))
-    inside = F.size(F.filter(F.element_at(F.array(*[literal(g) for g in groups]), group), lambda c: c <= key))
-    return (group - 1) * width + inside
-
-
-def _dealt(keyed: DataFrame, many: int) -> Column:
-    """The block of each row of keyed (key, tie): by cuts of about equal counts of keys; a key that holds several cuts is cut again, by its rows' ties."""
-    cuts = keyed.select(F.percentile_approx("key", [k / many for k in range(1, many)] or [0.5])).first()[0]
-    times = Counter(cuts or ())
-    hot = {k: n for k, n in times.items() if n > 1}
-    ties = {}
-    if hot:
-        wanted = F.percentile_approx("tie", [k / max(hot.values()) for k in range(1, max(hot.values()))]).alias("ties")
-        ties = {x["key"]: sorted(set(x["ties"])) for x in keyed.where(F.col("key").isin(list(hot))).groupBy("key").agg(wanted).collect()}  # at most `many` keys
-    starts, at = [0], 0
-    for k in sorted(times):
-        at += 1
-        starts.append(at)  # of the block where this key's rows begin
-        at += len(ties.get(k, ()))
-    ends = [0, *[n + len(ties.get(k, ())) for k, n in zip(sorted(times), starts[1:], strict=True)]]
-    after = _block(F.col("key"), sorted(times)) + 1
-    block = F.element_at(F.array(*map(F.lit, ends)), after)
-    if ties:
-        own = F.element_at(F.create_map(*[F.lit(x) if k % 2 == 0 else F.array(*map(F.lit, x)) for pair in ties.items() for k, x in enumerate(pair)]), F.col("key"))
-        inside = F.element_at(F.array(*map(F.lit, starts)), after) + F.size(F.filter(own, lambda t: t <= F.col("tie")))
-        block = F.when(F.col("key").isin(list(ties)), inside).otherwise(block)
-    return block
-
-
-def _in_order(rows: DataFrame) -> DataFrame:
-    """block, copy, doc_id, text: each block in order in one partition, followed by a copy of the first row after it."""
-    spark = rows.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
-    block = _dealt(keyed, _BLOCKS * partitions).cast("int")
-    found = keyed.groupBy(block.alias("block")).agg(F.min(F.struct("key", "tie")).alias("first")).orderBy("block").collect()  # a few for each partition
-    firsts = [(*x["first"], found[k - 1]["block"]) for k, x in enumerate(found)]  # the first of all goes after the last
-    before = F.broadcast(spark.createDataFrame(firsts, "key long, tie long, before int"))
-    here, there = F.struct(block.alias("block"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("block"), F.lit(1).alias("copy"))
-    places = F.when(F.col("before").isNotNull(), F.array(here, there)).otherwise(F.array(here))
-    placed = keyed.join(before, ["key", "tie"], "left").select(F.explode(places).alias("at"), "doc_id", "text", "key", "tie").select("at.*", "doc_id", "text", "key", "tie")
+def _dealt(keys: np.ndarray, ties: np.ndarray) -> Callable[[Column, Column], Column]:
+    """A column function of (key, tie): twice the number of the block that holds it, and 1 more for the first row of a block.
+
+    keys, ties: of the first row of each block, in order. A few numbers for each shuffle partition, searched in numpy.
+    """
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
+        key, tie = key.to_numpy(np.int64), tie.to_numpy(np.int64)
+        block = np.searchsorted(keys, key, "right") - 1
+        for k in np.unique(key[keys[block] == key]):
+            own = key == k
+            first = np.searchsorted(keys, k)
+            block[own] = first + np.searchsorted(ties[first : np.searchsorted(keys, k, "right")], tie[own], "right") - 1
+        block = np.maximum(block, 0)
+        return pd.Series(2 * block + ((keys[block] == key) & (ties[block] == tie)))
+
+    return place
+
+
+def _in_order(keyed: DataFrame, names: DataFrame) -> DataFrame:
+    """block, copy, doc_id, text: each block in order in one partition, followed by a copy of the first row after it.
+
+    keyed: rows with key and tie, which tell them apart; names: key and tie of each.
+    """
+    partitions = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = names.repartitionByRange(_BLOCKS * partitions, "key", "tie")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "tie")).alias("first")).select("first.*").orderBy("key", "tie").toPandas()  # a few for each partition
+    at, blocks = _dealt(firsts["key"].to_numpy(np.int64), firsts["tie"].to_numpy(np.int64)), max(1, len(firsts))
+    block = F.shiftright("at", 1)
+    here, there = F.struct(block.alias("block"), F.lit(0).alias("copy")), F.struct(F.pmod(block - 1, F.lit(blocks)).alias("block"), F.lit(1).alias("copy"))
+    places = F.when(F.col("at") % 2 == 1, F.array(here, there)).otherwise(F.array(here))
+    placed = keyed.withColumn("at", at(F.col("key"), F.col("tie"))).select(F.explode(places).alias("at"), "doc_id", "text", "key", "tie").select("at.*", "doc_id", "text", "key", "tie")
     return placed.repartition(partitions, "block").sortWithinPartitions("block", "copy", "key", "tie").select("block", "copy", "doc_id", "text")
 
 
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows, each pair of doc_id and text once, with key and tie; these two of each; and (doc_id, text, n) of the pairs that n > 1 rows have.
+
+    Only rows whose key and tie repeat, found by narrow counts and a bitmap, are grouped by their texts.
+    """
+    keyed = rows.withColumns({"key": F.coalesce("doc_id", F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
+    names = cut(keyed.groupBy("key", "tie").agg(F.count("*").alias("n")))
+    repeated = names.where("n > 1").select(F.xxhash64("key", "tie").alias("row"))
+    if repeated.isEmpty():
+        return keyed, names, None
+    split = marked(keyed.withColumn("row", F.xxhash64("key", "tie")), repeated, "row", "row")
+    grouped = cut(split.where("__near").groupBy("doc_id", "text", "key", "tie").agg(F.count("*").alias("n")))
+    return split.where("not __near").select(keyed.columns).unionByName(grouped.select(keyed.columns)), names, grouped.where("n > 1").select("doc_id", "text", "n")
+
+
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, text, fingerprint, edited_text, edited_fingerprint, near_edited, near_next for each row of docs.
 
@@ -211,8 +216,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = texts(docs)
     ranks = rarity_ranks(rows)
     made = lambda text: Digest(features(text.encode(), ranks))
-    names = ["doc_id", "text", "fingerprint", "edited_text", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), *[pa.string()] * 4, pa.float64(), pa.float64()]
+
+    def judged(doc: int | None, whole: str, own: Digest, following: str, digest: Digest) -> tuple:
+        n = len(whole) // 4
+        edited = whole[: len(whole) - n] + following[:n]
+        other = made(edited) if edited != whole else own
+        return doc, whole, str(own), edited, str(other), likeness(own, other), likeness(own, digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # block, doc_id, text and digest of the row before
@@ -224,12 +233,30 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     continue
                 digest = made(text)
                 if last is not None and last[0] == block:
-                    _, before, whole, own = last
-                    n = len(whole) // 4
-                    edited = whole[: len(whole) - n] + text[:n]
-                    other = made(edited) if edited != whole else own
-                    out.append((before, whole, str(own), edited, str(other), likeness(own, other), likeness(own, digest)))
+                    out.append(judged(*last[1:], text, digest))
                 last = None if copy else (block, doc, text, digest)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+            yield _batch(out)
 
-    return _in_order(rows).mapInArrow(run, "doc_id long, text string, fingerprint string, edited_text string, edited_fingerprint string, near_edited double, near_next double")
+    def run_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                digest = made(text or "")
+                out.append((*judged(doc, text or "", digest, text or "", digest), times))
+            yield _batch(out, len(_NAMES))
+
+    keyed, names, repeats = _told_apart(rows)
+    whole = _in_order(keyed, names).mapInArrow(run, _SCHEMA)
+    if repeats is None:
+        return whole
+    before_last = F.col("n") - 1  # of equal rows all but the last are followed by an equal one
+    parts = repeats.select("doc_id", "text", F.explode(F.sequence(F.lit(0), before_last - 1, F.lit(_REPEATS))).alias("first"), before_last.alias("n"))
+    dealt = parts.select("doc_id", "text", F.least(F.lit(_REPEATS), F.col("n") - F.col("first")).alias("times")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = dealt.mapInArrow(run_repeats, f"{_SCHEMA}, times long").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return whole.unionByName(each.select(whole.columns))
+
+
+def _batch(rows: list[tuple], columns: int = len(_NAMES) - 1) -> pa.RecordBatch:
+    """Of judged rows, without or with a number of times."""
+    kinds = [pa.int64(), *[pa.string()] * 4, pa.float64(), pa.float64(), pa.int64()][:columns]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], _NAMES[: len(kinds)])

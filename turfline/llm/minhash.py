@@ -11,7 +11,7 @@ still hold several components stay open, and for their classes an exact way take
 are similar enough share one of their rarest elements, at places that leave enough of both. Each class first meets
 the most typical class (the one with the fewest rare elements) that it shares such an element with, then those of
 other components. What many documents have in common, a passage or a line, is never rare, so it makes no pair. Nothing
-is capped. Of texts only those whose classes share a bucket are shuffled, behind a bitmap of fixed size.
+is capped. Of texts only those whose classes share a bucket are shuffled, behind a bitmap of their ids.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def _grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands:
     live = cut(members.join(cut(ends, tasks), "key"), tasks)  # classes that share a bucket with another
     parts: list[DataFrame] = []
     if not live.isEmpty():
-        wanted = live.select("class").distinct().join(classes.select("class", "rep", "rep_digest"), "class")
+        wanted = cut(live.select("class").distinct().join(classes.select("class", "rep", "rep_digest"), "class"), tasks)
         sets = cut(_sets(docs, wanted, width), tasks)
         if sets.count() > wanted.count():  # rows that repeat both doc_id and text
             sets = cut(sets.dropDuplicates(["class"]), tasks)
@@ -226,11 +226,13 @@ def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that stay: one of each group of near copies, with all its columns, and all rows without shingles.
+    """The rows of docs that stay: one of each group of near copies, with all its columns, whatever their names, and all rows without shingles.
 
     Rows are told apart by doc_id and text, so null or shared ids lose no text: of a group the row of the least doc_id
     (null comes last) and digest stays. Rows that repeat both are copies, of which one stays.
     """
+    own = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(own)])  # no other name can meet a helper's
     linked, _, tasks = _grouped(docs, **options)
     rows = linked.groupBy("component", "doc_id", "digest").agg((F.count("*") > 1).alias("many"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "many")).alias("least")
@@ -240,6 +242,6 @@ def keep_one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     out = docs.join(stay.where("not __many"), same, "left_semi").unionByName(blank)
     many = stay.where("__many")
     if many.isEmpty():
-        return out
+        return out.toDF(*own)
     copies = docs.join(many, same).dropDuplicates(["__doc_id", "__digest"])
-    return out.unionByName(copies.drop("__doc_id", "__digest", "__many"))
+    return out.unionByName(copies.drop("__doc_id", "__digest", "__many")).toDF(*own)

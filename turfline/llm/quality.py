@@ -174,7 +174,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns, whatever their names. Reads texts a second time instead of shuffling them."""
+    """The rows of docs that classify() keeps, with all their columns, whatever their names.
+
+    Texts are read a second time instead of being shuffled, up to SMALL_TABLE sites. With more their table isn't broadcast: rows then
+    meet it in a merge join on the site, whose large partitions AQE splits, since the table is a checkpoint.
+    """
     evidence, sites, _ = _learned(docs, labels, host, path)
     own = docs.columns
     named = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(own)])  # no name of docs can meet a helper's

@@ -38,7 +38,7 @@ def place(rows: DataFrame, key: str, weights: Sequence[float], grown: Sequence[f
 
     Slots are gapless from 0 and follow the order of the key (null first) and then of the other columns, which must be
     orderable. Rows that repeat get a slot each. An empty table gives an empty table. Columns named shard, slot or
-    grown_shard are replaced.
+    grown_shard are replaced; names that begin with __ are the operator's own.
     """
     rows = rows.drop("shard", "slot", "grown_shard")
     columns = rows.columns

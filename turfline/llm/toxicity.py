@@ -169,7 +169,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame) -> Model:
-    """A model from a bounded number of rows of text and toxic (0 or 1). Without rows of both labels every document scores 0 to 0.5."""
+    """A model from a bounded number of rows of text and toxic (0 or 1). Without rows of both labels every document scores below 0.5, and so does a text without segments in any case."""
     counts = _token_counts(train).persist()
     try:
         toxic, clean, kinds = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("clean"), F.lit(0)), F.count("*")).first()
@@ -201,7 +201,8 @@ def fit(train: DataFrame) -> Model:
     model.log_k = sum(calm) / len(calm) - _EULER if calm else 0.0
     normal = [[model.rate * s - math.log(max(1, x["n"])) - model.log_k for s in x["scores"]] for x in rows]
     features = np.array([evidence(x) for x in normal]).reshape(-1, 2).clip([-5, 0], [30, np.inf])
-    model.weights = tuple(float(x) for x in _logistic(features, np.array([x["toxic"] for x in rows], float)))
+    level, best, total = (float(x) for x in _logistic(features, np.array([x["toxic"] for x in rows], float)))
+    model.weights = (min(level, 5 * best - 0.01), best, total)  # a text without any segment is never likelier toxic than not, whatever the labels
     return model
 
 
@@ -240,14 +241,18 @@ def classify(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with all their columns. Decided in the scan, so no text is shuffled."""
+    """The rows of docs that stay, with all their columns: those that aren't predicted toxic or have no significant segment, which is no evidence.
+
+    So where labels tell nothing, however many of them are toxic, nothing goes. Decided in the scan, so no text is shuffled.
+    """
     model = fit(training_rows(docs, labels, train))
     columns = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
         for batch in batches:
-            yield batch.filter(pa.array([model.judge(x or b"")[0] < 0.5 for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
+            found = [model.judge(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([score < 0.5 or not spans for score, spans in found], pa.bool_()))
 
     texts(docs)  # for its bound on batches
     return docs.mapInArrow(keep, docs.schema)
