@@ -172,3 +172,11 @@ def test_feature_table_has_all_columns(spark):
     assert len(chronological) == 108 and chronological <= have
     assert sum(len(derived.names_of(g, made.columns)) for g in derived.GROUPS) + len({"track_frequency", "class_filled"} & have) == 191
     assert made.count() == len(card(2, races=30))
+
+
+def test_a_best_without_a_known_second_has_no_gap(spark):
+    races = {"two": [1500.0, None], "three": [1500.0, None, None], "none": [None, None], "alone": [1500.0], "both": [1500.0, 1620.0]}
+    rows = [(race, k, x) for race, given in races.items() for k, x in enumerate(given)]
+    frame = spark.createDataFrame(rows, "race_id string, row_no int, horse_elo_pre_race double").withColumn("elo_implied_prob", F.lit(0.5))
+    got = {(x.race_id, x.row_no): x.elo_advantage_over_second for x in derived.apply(frame, derived.ELO).collect()}
+    assert got == {("two", 0): None, ("two", 1): 0, ("three", 0): None, ("three", 1): 0, ("three", 2): 0, ("none", 0): 0, ("none", 1): 0, ("alone", 0): 0, ("both", 0): 0, ("both", 1): 120}

@@ -79,11 +79,93 @@ def test_versions_and_lists(spark, tmp_path):
     assert files.read_text(spark, f"{tmp_path}/names.txt") == "speed"
     files.write_report(spark, f"{tmp_path}/report.json", {"a": 1})
     assert json.loads(files.read_text(spark, f"{tmp_path}/report.json")) == {"a": 1}
+
+
+def test_a_thousand_files_are_a_scan_for_each_header(spark, tmp_path):
+    paths = []
+    for k in range(1000):
+        path = tmp_path / f"card {k}.csv"
+        head, values = (("a,b", f"{k},x") if k % 3 else ("b,a", f"x,{k}")) if k % 5 else ("a,c", f"{k},z")
+        path.write_text(f"{head}\n{values}\n{values}\n" if k % 100 else "" if k else f"\n{head}\n{values}\n\n{values}\n")
+        paths.append(str(path))
+    order = paths[500:] + [f"{tmp_path}/missing.csv"] + paths[:500]
+    read = files.read_cards(spark, order)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and plan.count("Relation [") == plan.count(" csv")
+    rows = read.orderBy("file_idx", "row_idx").collect()
+    kept = [k for k in [*range(500, 1000), *range(500)] if k % 100 or not k]
+    assert [int(x.a) for x in rows] == [k for k in kept for _ in range(2)]
+    assert all((x.b, x.c) == (("x", None) if k % 5 else (None, "z")) for x, k in zip(rows, [k for k in kept for _ in range(2)], strict=True))
+    assert [order[x.file_idx] for x in rows[::2]] == [f"{tmp_path}/card {k}.csv" for k in kept]
+    named = read.withColumns({"race_id": F.lit("r"), "horse": F.col("a").cast("int") % 7})
+    first = clean.keep_first(named, ["race_id", "horse"], ["file_idx", "row_idx"]).collect()
+    assert sorted(int(x.a) for x in first) == [501, 502, 503, 504, 505, 506, 507]
+
+
+def test_rows_of_a_file_in_many_blocks_keep_their_order(spark, tmp_path):
+    (tmp_path / "cards").mkdir()
+    for name, low in (("b", 3000), ("a", 0)):
+        (tmp_path / "cards" / f"{name}.csv").write_text("n,pad\n" + "".join(f"{k},{'x' * 40}\n" for k in range(low, low + 3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        read = files.read_cards(spark, [str(tmp_path / "cards"), str(tmp_path / "cards/a.csv")])
+        assert read.select("row_idx.block").distinct().count() > 8
+        rows = read.orderBy("file_idx", "row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [int(x.n) for x in rows] == [*range(6000), *range(3000)]
+
+
+def test_saved_tables_follow_files_order_and_settings(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text("a\n1\n")
+    two.write_text("a\n2\n")
     calls = []
-    make = lambda: calls.append(1) or frame
-    for key in ("v1", "v1", "v2"):
-        assert files.reuse_or_write(spark, f"{tmp_path}/cached.parquet", key, make).count() == 1
-    assert len(calls) == 2
+
+    def table(paths, *settings):
+        def make():
+            calls.append(paths)
+            return files.read_cards(spark, paths)
+
+        return sorted(x.a for x in files.reuse_or_write(spark, f"{tmp_path}/cached.parquet", files.snapshot_key(spark, paths, *settings), make).collect())
+
+    both = [str(one), str(two)]
+    assert table(both, C.EloConfig()) == table(both, C.EloConfig()) == ["1", "2"] and len(calls) == 1
+    one.write_text("a\n1\n3\n4\n")
+    assert table(both, C.EloConfig()) == ["1", "2", "3", "4"] and len(calls) == 2
+    stat = one.stat()
+    one.write_text("a\n1\n3\n5\n")  # as many bytes, another time
+    os.utime(one, ns=(stat.st_atime_ns, stat.st_mtime_ns + 5_000_000_000))
+    assert table(both, C.EloConfig()) == ["1", "2", "3", "5"] and len(calls) == 3
+    assert table(both[::-1], C.EloConfig()) and len(calls) == 4  # the order decides which of two equal rows stays
+    assert table(both[::-1], C.EloConfig(k_factor=3.0)) and len(calls) == 5
+    assert table([*both[::-1], f"{tmp_path}/three.csv"], C.EloConfig(k_factor=3.0)) and len(calls) == 6
+    (tmp_path / "three.csv").write_text("a\n9\n")
+    assert "9" in table([*both[::-1], f"{tmp_path}/three.csv"], C.EloConfig(k_factor=3.0)) and len(calls) == 7
+
+
+def test_a_killed_job_serves_no_half_table(spark, tmp_path, monkeypatch):
+    path, frame = f"{tmp_path}/table.parquet", spark.range(10).toDF("x")
+    with pytest.raises(FileNotFoundError):
+        files.current(spark, path)
+    files.publish(frame, path, "old")
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(files, "_swap", killed)  # between the table and its pointer
+        files.reuse_or_write(spark, path, "new", lambda: frame.limit(3))
+    assert files.current(spark, path).count() == 10
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark raises while the table is written
+        files.reuse_or_write(spark, path, "new", lambda: frame.select(F.raise_error(F.lit("lost")).alias("x")))
+    assert files.current(spark, path).count() == 10
+    held = files.current(spark, path)
+    assert files.reuse_or_write(spark, path, "new", lambda: frame.limit(4)).count() == 4
+    assert held.count() == 10  # who reads the version before can go on
+    files.publish(frame, path, "newer")
+    assert len([x for x in os.listdir(path) if x.startswith("v-")]) == 2
 
 
 def test_splits_are_chronological(spark):

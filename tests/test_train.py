@@ -58,14 +58,14 @@ def test_from_card_files_to_scored_cards(spark, tmp_path):
     report = json.loads(files.read_text(spark, f"{artifacts}/report.json"))
     assert report["kept"] > 0 and 1 <= report["trees"] <= 3 and "val_auc" in report and report["permutation"]
     assert json.loads(files.read_text(spark, f"{artifacts}/validation.json"))["rows"] == len(old)
-    table = spark.read.parquet(f"{artifacts}/features.parquet")
+    table = files.current(spark, f"{artifacts}/features.parquet")
     assert {"bsp_rank", "market_book_percentage", "horse_elo_pre_race", "course_specialist"} <= set(table.columns) and "pos" not in table.columns
     assert spark.read.option("header", True).csv(f"{artifacts}/importances").count() > 0
-    marker = (tmp_path / "artifacts/features.parquet/_SUCCESS").stat().st_mtime_ns
+    marker = (tmp_path / "artifacts/features.parquet/CURRENT").read_text()
     main(["score", "--cards", f"{tmp_path}/new.csv", "--artifacts", artifacts, "--out", f"{tmp_path}/scored"])
     scored = spark.read.option("header", True).csv(f"{tmp_path}/scored").collect()
     assert len(scored) == len(new) and all(0 <= float(x.model_prob) <= 1 for x in scored)
     assert {(x.race_id, x.horse) for x in scored} == {(f"{x[2]:%Y-%m-%d}_{x[4].upper()}_{x[2]:%H:%M}", x[6]) for x in new}
     chosen = train.train_from_cards(spark, [f"{tmp_path}/old.csv", f"{tmp_path}/missing.csv"], artifacts, C.OLDER_SELECTION, trees=2)  # takes the table that is there
-    assert (tmp_path / "artifacts/features.parquet/_SUCCESS").stat().st_mtime_ns == marker
+    assert (tmp_path / "artifacts/features.parquet/CURRENT").read_text() == marker
     assert chosen.importances is None and len(chosen.kept) > report["kept"]

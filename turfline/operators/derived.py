@@ -8,7 +8,6 @@ order of a sum never decides a flag.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -170,7 +169,7 @@ SPECIALIST: list[list[Rule]] = [
         )
     ],
     _flags(
-        ("double_specialist", "course_specialist distance_specialist", "course_specialist = 1 AND distance_specialist = 1"),
+        ("double_specialist", "course_specialist distance_specialist surface_specialist", "course_specialist = 1 AND distance_specialist = 1"),
         ("triple_specialist", "course_specialist distance_specialist surface_specialist", "course_specialist = 1 AND distance_specialist = 1 AND surface_specialist = 1"),
     ),
 ]
@@ -234,10 +233,10 @@ _E = "horse_elo_pre_race"
 
 
 def second_gap(x: str) -> str:
-    """Of the race's best from its second best: 0 for a single runner or a single known value, null without any."""
+    """Of the race's best from its second best: 0 for a single runner, null for more of whom at most one is known."""
     best = f"max({x}) {RACE}"
     below = f"max(CASE WHEN _place > 1 THEN {x} END) {RACE}"
-    return f"CASE WHEN count(*) {RACE} < 2 THEN 0.0D ELSE {best} - coalesce({below}, {best}) END"
+    return f"CASE WHEN count(*) {RACE} < 2 THEN 0.0D ELSE {best} - {below} END"
 
 
 ELO: list[list[Rule]] = [
@@ -384,11 +383,3 @@ def all_groups(df: DataFrame, legacy: bool = False, fit_on: DataFrame | None = N
     for g in GROUPS:
         df = apply(df, g)
     return apply(df, LEGACY_MARKET) if legacy else df
-
-
-def as_sql(group: str | Sequence[Sequence[Rule]], source: str, columns: Sequence[str]) -> str:
-    """The same group as one nested SELECT over a relation."""
-    for step in applicable(GROUPS[group] if isinstance(group, str) else group, columns):
-        made = ", ".join(f"{text if isinstance(text, str) else text[1]} AS {name}" for name, _, text in step)
-        source = re.sub(r"\b(\d+(?:\.\d+)?)D\b", r"\1::DOUBLE", f"(SELECT *, {made} FROM {source})")
-    return source

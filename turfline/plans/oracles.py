@@ -154,14 +154,14 @@ GROUPS: dict[str, list[Step]] = {
             **{f"~elo_vs_field_{f}": _against("horse_elo_pre_race", g) for f, g in (("avg", "avg"), ("median", "median"), ("max", "max"))},
             "~elo_percentile_in_race": _share_of_race("horse_elo_pre_race"),
             "elo_rank_in_race": _better("horse_elo_pre_race", "DESC"),
-            "two_best": "list_reverse_sort(list(horse_elo_pre_race) OVER (PARTITION BY race_id))[1:2]",
+            "two_best": "list_reverse_sort(list(horse_elo_pre_race) FILTER (WHERE horse_elo_pre_race IS NOT NULL) OVER (PARTITION BY race_id))[1:2]",
             "~log_elo_prob": "ln(elo_implied_prob + 1)",
             **_yes(
                 elo_high="horse_elo_pre_race >= 1600", elo_mid="horse_elo_pre_race >= 1400 AND horse_elo_pre_race <= 1600", elo_low="horse_elo_pre_race < 1400", elo_prob_strong="elo_implied_prob > 0.25",
                 elo_prob_weak="elo_implied_prob < 0.05::DOUBLE",
             ),
         },
-        {**_yes(is_elo_favorite="elo_rank_in_race = 1", is_elo_top3="elo_rank_in_race < 4"), "~elo_advantage_over_second": "CASE WHEN elo_rank_in_race = 1 THEN two_best[1] - two_best[-1] ELSE 0 END"},
+        {**_yes(is_elo_favorite="elo_rank_in_race = 1", is_elo_top3="elo_rank_in_race < 4"), "~elo_advantage_over_second": "CASE WHEN coalesce(elo_rank_in_race, 0) <> 1 OR count(*) OVER (PARTITION BY race_id) = 1 THEN 0 ELSE two_best[1] - two_best[2] END"},
     ],
     "rating_momentum": [
         _yes(

@@ -60,16 +60,20 @@ def score(df: DataFrame, folder: str) -> DataFrame:
     return scored.select(*[c for c in dict.fromkeys((*C.ID_COLUMNS, *names["selected"])) if c in df.columns], "model_prob")
 
 
-def train_from_cards(spark: SparkSession, cards: Sequence[str], folder: str, config: C.SelectionConfig = C.SelectionConfig(), trees: int = 20) -> selection.Selector:
+def train_from_cards(
+    spark: SparkSession, cards: Sequence[str], folder: str, config: C.SelectionConfig = C.SelectionConfig(), trees: int = 20, history_config: C.HistoryConfig = C.HistoryConfig(), elo_config: C.EloConfig = C.EloConfig()
+) -> selection.Selector:
     """Cleans cards, builds features, selects, fits and calibrates, and saves model, state, names and reports under folder.
 
-    Runners and features are written once for each set of card files and settings, and taken from there when it comes again.
+    Runners and features are written once for each state of the card files, their order and the settings, and taken from
+    there when all of these come again.
     """
-    key = json.dumps([sorted(cards), features.VERSION])
+    key = files.snapshot_key(spark, cards, features.VERSION)
     make = lambda: clean.prepare_inputs(clean.clean(clean.standardize_names(files.read_cards(spark, cards))))
     runners = files.reuse_or_write(spark, f"{folder}/runners.parquet", key, make)
     files.write_report(spark, f"{folder}/validation.json", clean.validate(runners))
-    table = files.reuse_or_write(spark, f"{folder}/features.parquet", key, lambda: features.build(runners, legacy_market=True, keep_prices=True))
+    built = files.snapshot_key(spark, cards, features.VERSION, history_config, elo_config)
+    table = files.reuse_or_write(spark, f"{folder}/features.parquet", built, lambda: features.build(runners, True, history_config, elo_config, keep_prices=True))
     files.write_feature_names(table, f"{folder}/feature_names.txt")
     split = selection.with_split(table)
     part = {x: split.where(F.col("split") == x) for x in ("train", "val")}
@@ -79,7 +83,7 @@ def train_from_cards(spark: SparkSession, cards: Sequence[str], folder: str, con
     files.write_text(spark, f"{folder}/selected_names.txt", "".join(f"{c}\n" for c in sorted(chosen.kept)))
     if chosen.importances is not None:
         files.write_csv(chosen.top(30), f"{folder}/importances")
-    features.save_state(runners, folder)
+    features.save_state(runners, folder, history_config, elo_config)
     return chosen
 
 
