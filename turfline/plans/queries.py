@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -9,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline import config as C
-from turfline.functions.storage import cut
+from turfline.functions.storage import cut, shared_folder
 from turfline.operators import chrono, clean, derived, elo, history, selection
-from turfline.plans import features, star
+from turfline.plans import features, star, state
 from turfline.plans import oracles as O
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,6 +409,22 @@ def elo_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("n_horses", *[F.round(c, 4).alias(c) for c in ("mean_elo", "std_elo", "min_elo", "max_elo")])
 
 
+_ENTITIES = " UNION ALL ".join(f"SELECT '{who}' AS who, {who} AS entity, least(count(*), {keep}) AS n_records, {'any_value(round(elo, 4))' if who == 'horse' else 'CAST(NULL AS DOUBLE)'} AS elo FROM counted {'LEFT JOIN last USING (horse)' if who == 'horse' else ''} GROUP BY {who}" for who, keep in (("horse", 30), ("jockey", 100), ("trainer", 150)))
+
+
+@_query(f"{_RATED}, last AS (SELECT horse, arg_max(post, run) AS elo FROM ratings GROUP BY horse), counted AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS field_n FROM runners) WHERE field_n > 1) {_ENTITIES}")
+def state_after_daily_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each entity holds once the last two days are merged, one by one, into the state of all results before: the same as a state of everything."""
+    runners = cut(star.runners(spark, sf_dir))
+    day = F.to_date("race_datetime")
+    last = sorted(x[0] for x in runners.select(day).distinct().orderBy(F.desc(runners.select(day).columns[0])).limit(2).collect())
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    state.save(runners.where(day < last[0]), folder)
+    for d in (*last, last[-1]):  # one of them twice
+        state.merge(spark, folder, runners.where(day == d))
+    return state.holdings(state.read(spark, folder)).withColumn("elo", F.round("elo", 4))
+
+
 # -- selection --------------------------------------------------------------------------------------------------------
 
 _NUMBERS = ("official_rating", "weight_lbs", "age", "stall", "class", "distance_m", "forecasted_odds", "runners", "pos")
