@@ -99,6 +99,17 @@ def test_ratings_equal_the_fold(spark):
     assert any(abs(sum(p or 0 for _, p in race) - 1) < 1e-9 for race in chances.values())
 
 
+def test_settled_races_leave_the_rounds(spark, monkeypatch):
+    rows = card(7, races=160)
+    frame = spark.createDataFrame(rows, SCHEMA).persist()
+    report = []
+    some = {(x.race_id, x.row_no): x.elo_after for x in elo.ratings(frame, report=report).collect()}
+    assert report == sorted(report, reverse=True) and sum(report) < 0.85 * len(report) * report[0]
+    monkeypatch.setattr(elo, "SHARE", 2.0)  # none leaves
+    full = {(x.race_id, x.row_no): x.elo_after for x in elo.ratings(frame).collect()}
+    assert some.keys() == full.keys() and all(abs(some[k] - full[k]) < 1e-8 for k in full if full[k] is not None)
+
+
 def test_legacy_scores_of_non_finishers(spark):
     frame = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, None), ("a", 4, 99.0)], "race_id string, row_no int, pos double")
     now = [x.s for x in frame.select("row_no", elo.actual_score().alias("s")).orderBy("row_no").collect()]

@@ -1,11 +1,13 @@
 import json
+import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from turfline import config as C
-from turfline.operators import clean, derived, selection
+from turfline.operators import boosting, clean, derived, selection
 from turfline.plans import star
 from turfline.sources import files
 
@@ -68,7 +70,8 @@ def test_checks_and_reports(spark):
     assert not {"pos", "Betfair_SP_x"} & set(left.columns) and left.where("ratio is not null").count() == 0
     with pytest.raises(ValueError):
         clean.drop_leakage(leaky, strict=True)
-    assert clean.model_inputs(spark.createDataFrame([(None, "3"), ("a", "z")], "c string, n string"), ["c"]).collect()[0] == ("missing", 3.0)
+    cast = clean.model_inputs(spark.createDataFrame([(None, "3"), ("a", "z")], "c string, n string"), ["c", "n", "gone"], ["c"]).collect()
+    assert [tuple(x) for x in cast] == [("missing", 3.0, -999.0), ("a", -999.0, -999.0)]
 
 
 def test_versions_and_lists(spark, tmp_path):
@@ -212,8 +215,58 @@ def test_selector(spark):
 
 def test_validation_rows_stop_training(spark):
     noise = spark.range(2000).selectExpr("id", "cast(rand(1) < 0.3 as int) as won", "rand(2) as x", "rand(3) as y", "timestamp_ntz'2024-01-01 00:00:00' as race_datetime").persist()
-    many = selection.Selector(C.SelectionConfig(trees=30, permutation=False, cumulative_importance=1.0)).fit(noise.where("id < 1500").drop("id"), noise.where("id >= 1500").drop("id"))
-    assert many.report["trees"] < 30
+    many = selection.Selector(C.SelectionConfig(trees=30, patience=3, permutation=False, cumulative_importance=1.0)).fit(noise.where("id < 1500").drop("id"), noise.where("id >= 1500").drop("id"))
+    assert many.report["trees"] == boosting.best_prefix(many.report["val_auc_by_trees"], 3)[0] < 30
+    own = selection.Selector(C.SelectionConfig(trees=30, patience=None, importance="gain", permutation=False, cumulative_importance=1.0)).fit(noise.where("id < 1500").drop("id"), noise.where("id >= 1500").drop("id"))
+    assert own.report["trees"] < 30 and "val_auc_by_trees" not in own.report
+
+
+def _forest(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler, VectorIndexer
+
+    rows = spark.range(1500).selectExpr("id", "rand(2) as x", "rand(3) as y", "cast(id % 5 as double) as kind").withColumn("_label", (F.col("x") + F.rand(4) + F.when(F.col("kind").isin(1, 3), 0.5).otherwise(0.0) > 1.1).cast("double"))
+    packed = VectorAssembler(inputCols=["x", "y", "kind"], outputCol="raw").transform(rows)
+    shaped = VectorIndexer(inputCol="raw", outputCol="_features", maxCategories=6).fit(packed).transform(packed).select("id", "_label", "_features").persist()
+    return GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1).fit(shaped.where("id % 3 > 0")), shaped.where("id % 3 = 0")
+
+
+def test_staged_aucs_and_split_counts_equal_brute_force(spark):
+    model, val = _forest(spark)
+    table = boosting.nodes(model).persist()
+    curve = boosting.auc_curve(model, table, val)
+    rows = val.collect()
+    trees, labels = model.trees, [x["_label"] for x in rows]
+    sums, wanted = [0.0] * len(rows), []
+    for tree, weight in zip(trees, model.treeWeights, strict=True):
+        sums = [s + weight * tree.predict(x["_features"]) for s, x in zip(sums, rows, strict=True)]
+        bins = [int(boosting.BINS / (1 + math.exp(-2 * s))) for s in sums]
+        good, bad = [b for b, y in zip(bins, labels, strict=True) if y], [b for b, y in zip(bins, labels, strict=True) if not y]
+        wanted.append(sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)))
+    assert curve == pytest.approx(wanted, abs=1e-12)
+    for patience in (1, 2, 4, 50):
+        best = at = 0
+        while at < len(wanted) and at - best <= patience:
+            best, at = at if wanted[at] > wanted[best] else best, at + 1
+            if at - 1 - best >= patience:
+                break
+        assert boosting.best_prefix(curve, patience)[0] == best + 1
+    part = boosting.first_trees(model, 5)
+    assert part.getNumTrees == 5 and part.treeWeights == model.treeWeights[:5] and part.toDebugString.split("Tree 0", 1)[1] == model.toDebugString.split("Tree 0", 1)[1].split("  Tree 5")[0]
+    counts = {x.feature: x.importance for x in boosting.split_counts(table, ["x", "y", "kind", "unused"]).collect()}
+    found = [int(k) for k in re.findall(r"If \(feature (\d+)", model.toDebugString)]
+    assert counts == {c: found.count(k) for k, c in enumerate(["x", "y", "kind", "unused"])} and counts["kind"] > 0
+
+
+def test_distinct_counts_of_wide_tables_have_no_expand(spark):
+    wide = spark.range(200).select(*[(F.col("id") % (k + 1)).alias(f"c{k}") for k in range(300)])
+    plan = clean.schema_report(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+    assert {x.column_name: x.n_distinct for x in clean.schema_report(wide).collect()} == {f"c{k}": min(k + 1, 200) for k in range(300)}
+    odd = spark.createDataFrame([(0.0, None, "a"), (-0.0, None, ""), (float("nan"), None, None), (float("nan"), None, "a")], "x double, empty int, text string")
+    assert {x.column_name: (x.n_null, x.n_distinct) for x in clean.schema_report(odd).collect()} == {"x": (0, 2), "empty": (4, 0), "text": (1, 2)}
+    near = {x.column_name: x.n_distinct for x in clean.schema_report(wide.select("c3", "c90", "c299"), approximate=True).collect()}
+    assert all(abs(near[f"c{k}"] - min(k + 1, 200)) <= 4 for k in (3, 90, 299))
 
 
 def test_permutation_finds_what_matters(spark):

@@ -41,7 +41,9 @@ class SelectionConfig:
     use_model: bool = True
     cumulative_importance: float = 0.995
     trees: int = 100
+    patience: int | None = 20  # trees that may bring no better AUC on validation rows before training counts as over; the best one is the last that is kept. None: stop_below instead
     stop_below: float = 1e-4  # the share of the validation error that one more tree must win, else training stops
+    importance: str = "splits"  # how many nodes split on a feature; or "gain"
     permutation: bool = True  # reported only
     permutation_repeats: int = 10
     test_size: float = 0.15

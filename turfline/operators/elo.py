@@ -4,8 +4,9 @@ Ratings are recursive across horses, so in principle all races form one sequence
 relaxation instead: every round takes the opponents' ratings of the round before as given and follows each horse's own
 races in order, all horses of a batch at once in numpy. A round is two shuffles, by race and by horse, whatever the
 number of races; an error in an opponent's rating counts for less than a twentieth of itself, and only forwards in time,
-so rounds are few (some twenty for histories of thirty races) and the limit is exactly the sequential result. Rounds stop
-when no rating moves by more than TOLERANCE.
+so rounds are few (some twenty for histories of thirty races) and the limit is exactly the sequential result. Errors die out
+from the earliest races on: all races before the first one that still moves leave the rounds, a quarter of the rows or
+more at a time, and their horses go on from what they reached. Rounds stop when no rating moves by more than TOLERANCE.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from turfline.config import EloConfig
 from turfline.functions.storage import cut, forget
 
 TOLERANCE, ROUNDS = 1e-10, 500
+SETTLED, SHARE = 1e-11, 0.25  # what counts as no move; the share of rows that leave at once
 
 
 def actual_score(config: EloConfig = EloConfig()) -> Column:
@@ -87,9 +89,10 @@ def _follow(config: EloConfig):
     return run
 
 
-def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame | None = None) -> DataFrame:
+def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame | None = None, report: list[int] | None = None) -> DataFrame:
     """race_id, row_no, horse_elo_pre_race, elo_after for each row of df's races with two runners at least.
 
+    report: gets the number of rows that each round goes over.
     initial: horse and elo after earlier races. A row without its horse, jockey or trainer has a null
     horse_elo_pre_race; its opponents meet it at the default rating, from which its horse goes on.
     """
@@ -104,6 +107,9 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
         old = initial.select(F.col("horse").cast("string").alias("horse"), F.col("elo").cast("double").alias("start"))
         rows = rows.join(old, "horse", "left").withColumn("start", F.coalesce("start", F.lit(config.default_rating)))
     state = cut(rows.withColumn("pre", F.when(F.col("known"), F.col("start")).otherwise(F.lit(config.default_rating))))
+    left, settled = state.count(), None
+    if report is not None:
+        report.append(left)
     for _ in range(ROUNDS):
         field = F.collect_list(F.struct("row_no", "pre")).over(Window.partitionBy("race_id"))
         others = F.filter(field, lambda r: r["row_no"] != F.col("row_no"))["pre"]
@@ -111,11 +117,25 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
         ordered = met.repartition("who").sortWithinPartitions("who", "race_datetime", "race_id", "row_no")
         state, done = cut(ordered.mapInArrow(_follow(config), _STATE)), state
         forget(done)
-        gap = state.agg(F.max("gap")).first()[0]
+        gap, moving = state.agg(F.max("gap"), F.min(F.when(F.col("gap") > SETTLED, F.col("race_datetime")))).first()
         if gap is None or gap <= TOLERANCE:
             break
+        before = F.col("race_datetime") < F.lit(moving)
+        resting = state.where(before).count()
+        if resting >= SHARE * left:  # nothing before the first race that moves will move again: those races leave the rounds
+            rest = cut(state.where(before))
+            settled = rest if settled is None else settled.unionByName(rest)
+            last = rest.groupBy("who").agg(F.max(F.struct("race_datetime", "race_id", "row_no", "post")).alias("last")).select("who", F.col("last.post").alias("_from"))
+            onward = state.where(~before).join(last, "who", "left").withColumn("start", F.coalesce("_from", "start")).select(*_NAMES)
+            state, done = cut(onward), state
+            forget(done)
+            left -= resting
+        if report is not None:
+            report.append(left)
     else:
         raise RuntimeError(f"ratings still move by {gap} after {ROUNDS} rounds")
+    if settled is not None:
+        state = settled.unionByName(state)
     after = F.when(F.col("horse").isNotNull(), F.col("post"))
     return state.select("race_id", "row_no", F.when(F.col("known"), F.col("pre")).alias("horse_elo_pre_race"), after.alias("elo_after"))
 

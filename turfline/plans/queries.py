@@ -66,12 +66,23 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("n_rows", "n_races", "n_horses", "n_tracks", minute("first_race").alias("first_minute"), minute("last_race").alias("last_minute"), "n_winners", F.round("win_rate_pct", 6).alias("win_rate_pct"))
 
 
-_REPORTED = {"race_id": "string", "horse": "string", "pos": "double", "going": "string", "age": "int", "forecasted_odds": "double"}
+#: All columns of runners; those that SQL has under another name count the same values there.
+_KINDS = {
+    "race_id": "string", "race_date": "date", "race_minute": "bigint", "track": "string", "horse": "string", "jockey": "string", "trainer": "string", "official_rating": "double",
+    "weight_lbs": "double", "age": "int", "stall": "int", "class": "int", "going": "string", "distance_m": "double", "headgear": "string", "forecasted_odds": "double",
+    "days_since_last_time_out": "int", "type": "string", "pos": "double", "row_no": "int", "runners": "int", "won": "int", "course": "string", "race_datetime": "timestamp_ntz",
+    "date_of_race": "timestamp_ntz", "num_places": "int", "placed": "int",
+}
+_SAME = {"race_datetime": "race_minute", "date_of_race": "race_date"}
+_REPORT = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({_SAME.get(c, c)}) AS n_null, round(100.0 * (count(*) - count({_SAME.get(c, c)})) / count(*), 2) AS null_pct, count(DISTINCT {_SAME.get(c, c)}) AS n_distinct FROM runners"
+    for c, t in _KINDS.items()
+)
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) FILTER (WHERE {c} IS NULL) AS n_null, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct FROM runners" for c, t in _REPORTED.items()))
+@_query(_REPORT)
 def schema_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.schema_report(star.runners(spark, sf_dir).select(*_REPORTED))
+    return clean.schema_report(star.runners(spark, sf_dir))
 
 
 @_query("SELECT type, count(*) AS n_rows, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM runners GROUP BY type")
@@ -109,12 +120,9 @@ def win_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.win_rates(star.runners(spark, sf_dir)).select(F.round("win_rate_pct", 6).alias("win_rate_pct"), F.round("expected_pct", 6).alias("expected_pct"))
 
 
-_SPARSE = {"horse": "string", "pos": "double", "stall": "int", "class": "int", "headgear": "string", "forecasted_odds": "double"}
-
-
-@_query(", p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS n_null, round(100.0 * (count(*) - count({c})) / count(*), 2) AS null_pct, count(DISTINCT {c}) AS n_distinct FROM runners" for c, t in _SPARSE.items()) + ") SELECT * FROM p WHERE null_pct > 10")
+@_query(f", p AS ({_REPORT}) SELECT * FROM p WHERE null_pct > 10")
 def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.missing_over(star.runners(spark, sf_dir).select(*_SPARSE))
+    return clean.missing_over(star.runners(spark, sf_dir))
 
 
 @_query("SELECT race_id, row_no, horse, won, CASE WHEN runners > 1 THEN round(official_rating / (runners - 1), 6) END AS ratio FROM runners")
@@ -387,6 +395,13 @@ def elo_actual_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.eligible(star.runners(spark, sf_dir)).select(*KEY, F.round(elo.actual_score().cast("double"), 6).alias("actual_score"))
 
 
+@_query(_FIRST.replace("WHEN pos IS NULL THEN 0 ELSE", "WHEN pos IS NULL THEN (2 * missing - 1) / (n - 1) ELSE"))
+def elo_actual_score_older(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older generation's score, in which non-finishers beat each other."""
+    score = elo.actual_score(C.EloConfig(mode="legacy")).cast("double")
+    return history.eligible(star.runners(spark, sf_dir)).select(*KEY, F.round(score, 6).alias("actual_score"))
+
+
 _RATED = O.recursive(f"{star.SQL} {O.BASE}{O.RATINGS}")
 
 
@@ -427,7 +442,9 @@ def state_after_daily_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- selection --------------------------------------------------------------------------------------------------------
 
-_NUMBERS = ("official_rating", "weight_lbs", "age", "stall", "class", "distance_m", "forecasted_odds", "runners", "pos")
+_NUMBERS = (
+    "official_rating", "weight_lbs", "age", "stall", "class", "distance_m", "forecasted_odds", "days_since_last_time_out", "pos", "row_no", "runners", "won", "num_places", "placed",
+)
 
 
 @_query(
@@ -456,6 +473,55 @@ def cumulative_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.col("feature").alias("track"), F.col("importance").cast("long").alias("n_rows"), F.round("cumulative_share", 6).alias("cumulative_share"))
 
 
+#: Columns that the rules see, in order, with three made ones: a copy at another scale, one without variance, a near copy.
+_OFFERED = (
+    "official_rating", "weight_lbs", "age", "stall", "class", "going", "distance_m", "headgear", "forecasted_odds", "days_since_last_time_out", "type", "pos", "runners", "num_places", "placed",
+    "rating_twice", "flat", "weight_and_age",
+)
+_LEAKY = ("pos", "num_places", "placed")
+_JUDGED = [c for c in _OFFERED if c not in (*_LEAKY, "going", "headgear", "type")]
+_RULES_SQL = f""", r AS (SELECT *, 2 * official_rating AS rating_twice, 1::DOUBLE AS flat, weight_lbs + age / 1000::DOUBLE AS weight_and_age FROM runners),
+v AS ({" UNION ALL ".join(f"SELECT {k} AS place, '{c}' AS c, var_pop({c}) AS vp, var_samp({c}) AS vs FROM r" for k, c in enumerate(_JUDGED))}),
+pairs AS ({" UNION ALL ".join(f"SELECT '{a}' AS l, '{b}' AS r, abs(corr({a}, {b})) AS x FROM r" for k, b in enumerate(_JUDGED) for a in _JUDGED[:k] if "flat" not in (a, b))}),
+settings AS (SELECT * FROM (VALUES ('latest', 0.98::DOUBLE, false), ('older', 0.999::DOUBLE, true)) AS t(rule, most, whichever)),
+low AS (SELECT rule, c FROM v, settings WHERE vp < 0.000001 OR (vp = 0.000001 AND NOT whichever)),
+near AS (SELECT rule, whichever, l, r FROM pairs, settings WHERE x > most),
+members AS (SELECT rule, r AS head, r AS member FROM near WHERE NOT whichever UNION SELECT rule, r, l FROM near WHERE NOT whichever),
+ranked AS (SELECT rule, member, row_number() OVER (PARTITION BY rule, head ORDER BY vs DESC, member <> head, place) AS k FROM members JOIN v ON member = c),
+gone AS (SELECT rule, member AS c FROM ranked WHERE k > 1 UNION SELECT rule, r FROM near WHERE whichever),
+names AS (SELECT unnest({list(_OFFERED)}) AS column_name)
+SELECT rule, column_name, CASE WHEN column_name IN {_LEAKY} THEN 'leakage' WHEN (rule, column_name) IN (SELECT (rule, c) FROM low) THEN 'low_variance' WHEN (rule, column_name) IN (SELECT (rule, c) FROM gone) THEN 'correlated' ELSE 'kept' END AS fate
+FROM names, settings"""
+
+
+@_query(_RULES_SQL)
+def selection_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column's fate by the rules alone, of the latest selector and of the older one."""
+    made = {"rating_twice": 2 * F.col("official_rating"), "flat": F.lit(1.0), "weight_and_age": F.col("weight_lbs") + F.col("age") / 1000.0}
+    frame = star.runners(spark, sf_dir).withColumns(made)
+    fates = []
+    for rule, config in (("latest", replace(C.SelectionConfig(), use_model=False)), ("older", C.OLDER_SELECTION)):
+        chosen = selection.Selector(config).fit(frame)
+        fates += [(rule, c, f) for f in ("leakage", "low_variance", "correlated") for c in chosen.report[f]] + [(rule, c, "kept") for c in chosen.kept]
+    return spark.createDataFrame(fates, "rule string, column_name string, fate string")
+
+
+@_query(", counts AS (SELECT track, count(*) AS n FROM runners GROUP BY track), shares AS (SELECT track, n, sum(n) OVER (ORDER BY n DESC, track) / sum(n) OVER () AS share FROM counts) SELECT track FROM shares WHERE share <= 0.5::DOUBLE OR n = (SELECT max(n) FROM counts WHERE NOT EXISTS (SELECT 1 FROM shares WHERE share <= 0.5::DOUBLE))")
+def cumulative_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of tracks by their runners the first that make half of all, the one that crosses it left out."""
+    counts = star.runners(spark, sf_dir).groupBy(F.col("track").alias("feature")).agg(F.count("*").cast("double").alias("importance"))
+    return spark.createDataFrame([(x,) for x in selection.within_cumulative(counts, 0.5)], "track string")
+
+
+_CAST = ("going", "headgear", "stall", "class", "forecasted_odds", "pos")
+
+
+@_query("SELECT race_id, row_no, " + ", ".join(f"coalesce({c}, 'missing') AS in_{c}" if c in ("going", "headgear") else f"coalesce(CAST({c} AS DOUBLE), -999) AS in_{c}" for c in _CAST) + ", CAST(-999 AS DOUBLE) AS in_absent FROM runners")
+def model_input_casting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = clean.model_inputs(star.runners(spark, sf_dir), (*_CAST, "absent"), ("going", "headgear"), "in_")
+    return made.select(*KEY, *[f"in_{c}" for c in (*_CAST, "absent")])
+
+
 @_query()
 def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the selector keeps of the whole feature table, with its own settings, and each column's fate."""

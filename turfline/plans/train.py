@@ -18,13 +18,9 @@ from turfline.operators import clean, derived, selection
 from turfline.plans import features
 from turfline.sources import files
 
-_MISSING = -999.0
-
 
 def _inputs(df: DataFrame, selected: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """df with in_<name> for each selected feature: text with 'missing' for null, numbers with a value of their own; absent ones are null."""
-    of = lambda c: F.col(c) if c in df.columns else F.lit(None)
-    return df.withColumns({f"in_{c}": F.coalesce(of(c).cast("string"), F.lit("missing")) if c in texts else F.coalesce(of(c).cast("double"), F.lit(_MISSING)) for c in selected})
+    return clean.model_inputs(df, selected, texts, "in_")
 
 
 def fit(train: DataFrame, val: DataFrame, selected: Sequence[str], target: str = "won", trees: int = 20, seed: int = C.SelectionConfig().seed) -> tuple[PipelineModel, IsotonicRegressionModel, list[str]]:
