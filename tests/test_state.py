@@ -19,7 +19,7 @@ def contents(spark, folder):
 
 
 def test_daily_merges_equal_one_full_run(spark, tmp_path):
-    rows = card(17, races=60)
+    rows = card(17, races=30)
     days = sorted({x[2].date() for x in rows})
     frame = spark.createDataFrame(rows, SCHEMA)
     day = F.to_date("race_datetime")
