@@ -2,6 +2,7 @@ import json
 import math
 import os
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,6 +275,9 @@ def test_permutation_finds_what_matters(spark):
     chosen = selection.Selector(C.SelectionConfig(trees=2, permutation_repeats=3)).fit(rows, rows)
     losses = {x.feature: x.loss_mean for x in chosen.permuted.collect()}
     assert losses["x"] > 0.4 and abs(losses["y"]) < 0.02
+    chosen.config = replace(chosen.config, permutation_rows=1000)
+    fewer = {x.feature: x.loss_mean for x in chosen.permutation_importance(rows, 1).collect()}
+    assert abs(fewer["x"] - losses["x"]) < 0.1
 
 
 def test_older_selector(spark):

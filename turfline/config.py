@@ -23,6 +23,11 @@ class HistoryConfig:
     trainer: int = 150
     deadline_minutes: int | None = 5  # None: the older generation, which sees all earlier races
     chunk_rows: int = 50_000  # rows of one entity that share a window partition
+    older_features: bool = False  # the older generation's definitions of consistency (5 races), class movement (3, all known) and a last win (position 1)
+
+
+#: The older generation's histories: shorter, without a deadline.
+OLDER_HISTORY = HistoryConfig(20, 50, 100, deadline_minutes=None, older_features=True)
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,7 @@ class SelectionConfig:
     importance: str = "splits"  # how many nodes split on a feature; or "gain"
     permutation: bool = True  # reported only
     permutation_repeats: int = 10
+    permutation_rows: int | None = 100_000  # about so many validation rows are judged, chosen by hash; None: all
     test_size: float = 0.15
     val_size: float = 0.15
     seed: int = 42

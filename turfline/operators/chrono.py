@@ -132,6 +132,18 @@ def class_movement() -> dict[str, Column]:
     }
 
 
+def older_form() -> dict[str, Column]:
+    return form() | {"pos_consistency": A.deviation(F.col("_last_5")), "last_race_won": _flag(_last("position") == 1)}
+
+
+def older_class_movement() -> dict[str, Column]:
+    """One unknown class among the last three leaves both flags at 0."""
+    three = A.last(_hist()["class"], 3)
+    known = F.when(F.forall(three, lambda c: c.isNotNull()), A.mean(F.transform(three, lambda c: c.cast("double"))))
+    now = F.col("class").cast("double")
+    return class_movement() | {"moving_up_in_class": _flag(now > known), "moving_down_in_class": _flag(now < known)}
+
+
 def recency() -> dict[str, Column]:
     days = _hist()["day"]
     today = H.day(F.col("race_datetime"))
@@ -226,6 +238,8 @@ HORSE_GROUPS: dict[str, Callable[[], dict[str, Column]]] = {
     "specialisation": specialisation, "momentum": momentum, "combinations": combinations,
 }
 
+_OLDER_GROUPS = HORSE_GROUPS | {"form": older_form, "class_movement": older_class_movement}
+
 
 def with_places(df: DataFrame) -> DataFrame:
     """num_places, the places paid by the number of horses in the race, and placed."""
@@ -251,8 +265,8 @@ def horse_features(df: DataFrame, groups: Sequence[str] = tuple(HORSE_GROUPS), c
     """df's rows that have a horse (or what key makes of it), with the features of the named groups. Without key, races of one runner go first."""
     fields = [f for f in dict.fromkeys(f for g in HORSE_GROUPS for f in FIELDS[g]) if any(f in FIELDS[g] for g in groups)]
     rows = H.with_history(H.eligible(df) if key is None else df, "horse", config.horse, fields, "hist", config, key)
-    steps = _shared(groups)
-    for made in [*steps, {k: v for g in groups for k, v in HORSE_GROUPS[g]().items()}]:
+    steps, defined = _shared(groups), _OLDER_GROUPS if config.older_features else HORSE_GROUPS
+    for made in [*steps, {k: v for g in groups for k, v in defined[g]().items()}]:
         rows = rows.withColumns(made)
     return rows.drop("hist", *[c for made in steps for c in made])
 

@@ -236,15 +236,15 @@ def select(groups: Sequence[str], source: str, wanted: Sequence[str] | None = No
 BASE = ", base AS (SELECT * REPLACE (ifnull(headgear, 'None') AS headgear) FROM (SELECT *, count(*) OVER (PARTITION BY race_id) AS n_in_race FROM runners) WHERE n_in_race >= 2)"
 
 
-def seen(entity: str, keep: int) -> str:
+def seen(entity: str, keep: int, deadline: int | None = 5) -> str:
     """CTEs that end in <entity>_seen: a row for each visible record of each runner, back = 1 for the latest."""
-    e = entity
+    e, visible = entity, "" if deadline is None else f" AND b.race_minute < a.race_minute - {deadline}"
     return f""", {e}_rows AS (SELECT *, row_number() OVER (PARTITION BY {e} ORDER BY race_minute, race_id, row_no) AS seq FROM base),
 {e}_firsts AS (SELECT *, min(seq) OVER (PARTITION BY {e}, race_id) AS first_seq FROM {e}_rows),
 {e}_seen AS (
   SELECT a.race_id, a.row_no, row_number() OVER (PARTITION BY a.race_id, a.row_no ORDER BY b.seq DESC) AS back, coalesce(b.pos, 99) AS p, b.won AS w, b.placed AS q, b.official_rating AS o, b.class AS c, b.going AS g,
          b.distance_m AS d, b.course AS k, b.jockey AS j, b.trainer AS t, b.headgear AS h, date_diff('day', b.race_date, a.race_date) AS days, a.going AS a_going, a.distance_m AS a_distance, a.course AS a_course, a.jockey AS a_jockey, a.trainer AS a_trainer
-  FROM {e}_firsts a JOIN {e}_firsts b ON a.{e} = b.{e} AND b.seq BETWEEN a.first_seq - {keep} AND a.first_seq - 1 AND b.race_minute < a.race_minute - 5
+  FROM {e}_firsts a JOIN {e}_firsts b ON a.{e} = b.{e} AND b.seq BETWEEN a.first_seq - {keep} AND a.first_seq - 1{visible}
 )"""
 
 

@@ -298,6 +298,20 @@ _horse_query(
 )
 
 
+_OLDER = ("pos_consistency", "last_race_won", "moving_up_in_class", "moving_down_in_class", "races_since_win", "win_rate_last_20")
+_OLDER_SQL = (
+    "var_pop(p) FILTER (WHERE back <= 5 AND p < 99) AS v5, max(p) FILTER (WHERE back = 1) AS p1, avg(c) FILTER (WHERE back <= 3) AS c3, count(*) FILTER (WHERE back <= 3 AND c IS NULL) AS holes, min(back) FILTER (WHERE w = 1) AS won_at, avg(w) AS wc",
+    "round(sqrt(coalesce(v5, 0)), 6) AS pos_consistency, CAST(coalesce(p1 = 1, false) AS INT) AS last_race_won, CAST(coalesce(holes = 0 AND class > c3, false) AS INT) AS moving_up_in_class, CAST(coalesce(holes = 0 AND class < c3, false) AS INT) AS moving_down_in_class, coalesce(won_at - 1, n_seen, 0) AS races_since_win, round(coalesce(wc, 0), 6) AS win_rate_last_20",
+)
+
+
+@_query(f"{O.BASE}{O.seen('horse', 20, None)}{O.part('older', 'horse', *_OLDER_SQL)} SELECT * FROM older")
+def older_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the older generation's histories what it defines otherwise: 20 records, no deadline."""
+    rows = chrono.prepare(star.runners(spark, sf_dir), C.OLDER_HISTORY)
+    return _rounded(chrono.horse_features(rows, ("form", "streaks", "class_movement"), C.OLDER_HISTORY), list(_OLDER))
+
+
 def _people_sql(who: str) -> tuple[str, str]:
     runs = "rides" if who == "jockey" else "runners"
     parts = ", ".join(f"count(*) FILTER (WHERE days <= {d} AND w = 1) AS w{d}, count(*) FILTER (WHERE days <= {d}) AS n{d}, count(*) FILTER (WHERE days <= {d} AND q = 1) AS q{d}" for d in (14, 30, 90))
