@@ -12,6 +12,7 @@ more at a time, and their horses go on from what they reached. Rounds stop when
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
         old = initial.select(F.col("horse").cast("string").alias("horse"), F.col("elo").cast("double").alias("start"))
         rows = rows.join(old, "horse", "left").withColumn("start", F.coalesce("start", F.lit(config.default_rating)))
     state = cut(rows.withColumn("pre", F.when(F.col("known"), F.col("start")).otherwise(F.lit(config.default_rating))))
-    left, settled = state.count(), None
+    left, settled = state.count(), []
     if report is not None:
         report.append(left)
     for _ in range(ROUNDS):
@@ -124,7 +125,7 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
         resting = state.where(before).count()
         if resting >= SHARE * left:  # nothing before the first race that moves will move again: those races leave the rounds
             rest = cut(state.where(before))
-            settled = rest if settled is None else settled.unionByName(rest)
+            settled.append(rest)
             last = rest.groupBy("who").agg(F.max(F.struct("race_datetime", "race_id", "row_no", "post")).alias("last")).select("who", F.col("last.post").alias("_from"))
             onward = state.where(~before).join(last, "who", "left").withColumn("start", F.coalesce("_from", "start")).select(*_NAMES)
             state, done = cut(onward), state
@@ -134,8 +135,11 @@ def ratings(df: DataFrame, config: EloConfig = EloConfig(), initial: DataFrame |
             report.append(left)
     else:
         raise RuntimeError(f"ratings still move by {gap} after {ROUNDS} rounds")
-    if settled is not None:
-        state = settled.unionByName(state)
+    if settled:
+        parts = [*settled, state]
+        state = cut(reduce(DataFrame.unionByName, parts))
+        for done in parts:
+            forget(done)
     after = F.when(F.col("horse").isNotNull(), F.col("post"))
     return state.select("race_id", "row_no", F.when(F.col("known"), F.col("pre")).alias("horse_elo_pre_race"), after.alias("elo_after"))
 
