@@ -8,7 +8,7 @@ lower bound and the block's least Ritz value the polynomial stays small, above i
 with another pass, which also gives the residuals. Rounds stop when those of all wanted components are certified. Where the block would be as wide as the vectors, the first Rayleigh-Ritz is exact.
 
 Scale: vectors are written once, as blocks of at most ROWS rows of bytes in the shared folder; a pass reads them, holds one
-block at a time and shuffles one matrix of dimensions x columns for each task, summed in FAN groups before the driver adds
+block at a time and shuffles one matrix of dimensions x columns for each task, summed in a few groups as they arrive before the driver adds
 those. What the driver holds depends on the dimensions alone.
 """
 
@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turfline.functions import matrices
 from turfline.llm.common import bound_batches, cut
 
 COMPONENTS, GUARD, DEGREE, ROUNDS, LANCZOS = 32, 16, 10, 60, 12
@@ -31,7 +31,7 @@ SPREAD = 1e8
 CERTIFIED, ROUNDING = 1e-13, 1e-14  # residuals that are certified: of the own eigenvalue, or of the largest one
 RESIDUAL = 1e-9  # of the largest one: the most that rounds may end with where rounding hinders more
 SCALE = 64
-ROWS, FAN = 4096, 16
+ROWS = 4096
 _LARGEST = 2.0**52  # an entry beyond it has no exact whole number
 _BLOCK = "dimensions long, n long, ids array<long>, entries binary"
 _OUT = "vec_id long, deviation long, whitened array<double>"
@@ -83,7 +83,7 @@ class _Data:
         self.centre = _Centre(np.array(whole, np.int64), np.array([r / n for r in rest]))
 
     def _summed(self, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """The sum of of(x), a matrix, over the blocks x, centred once the mean is known and whole numbers before: in a task, in FAN groups of tasks, then here."""
+        """The sum of of(x), a matrix, over the blocks x, centred once the mean is known and whole numbers before: in each task, in a few groups of tasks as they arrive, then here."""
         d, centre, kind = self.dimensions, self.centre, np.float64 if self.centre else np.int64
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +94,10 @@ class _Data:
                     made = of(centre(x) if centre else x)
                     total = made if total is None else total + made
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN]), pa.array([total.shape[0]]), pa.array([total.tobytes()], pa.binary())], ["part", "rows", "total"])
+                yield matrices.part(total.shape[0], total)  # one tile, named by its rows
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, kind) for x in table.column("total").to_pylist())
-            return pa.table({"rows": table.column("rows").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
-
-        parts = self.blocks.select("entries").mapInArrow(run, "part long, rows long, total binary").groupBy("part").applyInArrow(add, "rows long, total binary").collect()
-        return sum(np.frombuffer(x["total"], kind).reshape(x["rows"], -1) for x in parts)
+        ((rows, total),) = matrices.tree_sum(self.blocks.select("entries").mapInArrow(run, matrices.PART), kind).items()
+        return total.reshape(rows, -1)
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """VQ, a pass over the data."""
