@@ -191,3 +191,38 @@ def test_a_best_without_a_known_second_has_no_gap(spark):
     frame = spark.createDataFrame(rows, "race_id string, row_no int, horse_elo_pre_race double").withColumn("elo_implied_prob", F.lit(0.5))
     got = {(x.race_id, x.row_no): x.elo_advantage_over_second for x in derived.apply(frame, derived.ELO).collect()}
     assert got == {("two", 0): None, ("two", 1): 0, ("three", 0): None, ("three", 1): 0, ("three", 2): 0, ("none", 0): 0, ("none", 1): 0, ("alone", 0): 0, ("both", 0): 0, ("both", 1): 120}
+
+
+@pytest.mark.parametrize("chunk", [4, 12])
+def test_large_and_small_entities_side_by_side(spark, chunk):
+    """A jockey of nearly all rows goes by chunks, the others by windows of their own; counts may come from other rows with the same keys."""
+    rows = [(*x[:7], "j0" if n % 4 else x[7], *x[8:]) for n, x in enumerate(card(6, races=60))]
+    frame = history.eligible(spark.createDataFrame(rows, SCHEMA))
+    made = []
+    for size, counted in ((10_000, None), (chunk, None), (chunk, frame.select("jockey"))):
+        config = C.HistoryConfig(chunk_rows=size)
+        seen = {(x.race_id, x.row_no): x.seen for x in history.with_history(frame, "jockey", 3, ("position",), "seen", config, counted=counted).collect()}
+        counts = {(x.race_id, x.row_no): (x._seen_14, x._first_of) for x in history.with_counts(frame.withColumn("_first_of", F.lit(1)), "jockey", 3, (14,), config, counted=counted).collect()}
+        numbers = {(x.race_id, x.row_no): (x._key, x._seq, x._first) for x in history.numbered(frame, "jockey", config=config, counted=counted).collect()}
+        made.append((seen, counts, numbers))
+    assert made[0] == made[1] == made[2] and len(made[0][0]) > 100
+
+
+def test_histories_move_rows_once(spark, tmp_path):
+    """Of stored rows: to the horse. Day counts, numbers and chunks took five shuffles."""
+    spark.createDataFrame(card(9), SCHEMA).write.parquet(f"{tmp_path}/rows")
+    frame = chrono.prepare(spark.read.parquet(f"{tmp_path}/rows"))
+    plan = chrono.horse_features(frame, ("form",), key=F.col("horse"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(_key") == 1
+
+
+def test_star_rows_move_to_their_race_once(spark):
+    from turfline.plans import star
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = star.runners(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(race_id") == 2  # lines and orders; none for the windows
