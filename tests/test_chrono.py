@@ -110,6 +110,28 @@ def test_settled_races_leave_the_rounds(spark, monkeypatch):
     assert some.keys() == full.keys() and all(abs(some[k] - full[k]) < 1e-8 for k in full if full[k] is not None)
 
 
+def test_spans_of_days_equal_all_at_once(spark, monkeypatch):
+    """Each span goes on from the ratings before it, and a round goes over a span's rows alone."""
+    rows = card(5, races=60)
+    frame = spark.createDataFrame(rows, SCHEMA).persist()
+    want, final = model(rows, {"horse": 30})
+    monkeypatch.setattr(elo, "SPAN_ROWS", 90)
+    report = []
+    for x in elo.ratings(frame, report=report).collect():
+        a, b = x.horse_elo_pre_race, want.pop((x.race_id, x.row_no))["elo"]
+        assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-4)
+    assert not want and max(report) < 0.7 * frame.count()
+    last = {x.horse: x.elo for x in elo.after_all(frame).collect()}
+    assert set(last) == set(final) and all(abs(last[h] - final[h]) < 1e-4 for h in final)
+
+
+def test_spans_are_few_and_whole_days():
+    assert elo._spans([]) == [] and elo._spans([("a", 5)]) == [("a", "a")]
+    days = [(d, 1_500_000) for d in range(40)]
+    spans = elo._spans(days)
+    assert len(spans) <= elo.SPANS and spans[0][0] == 0 and spans[-1][1] == 39 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_legacy_scores_of_non_finishers(spark):
     frame = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, None), ("a", 4, 99.0)], "race_id string, row_no int, pos double")
     now = [x.s for x in frame.select("row_no", elo.actual_score().alias("s")).orderBy("row_no").collect()]
